@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import packing, token_output
+from tallyforge.llm import chat, mixing, packing, quality, token_output, url_filter
 
 
 def queries():
     return {
+        "op1_perspective_rotation": chat.op1_perspective_rotation,
+        "op6_url_rules": url_filter.op6_url_rules,
         "op3_simple8b": token_output.op3_simple8b,
+        "op8_line_quality": quality.op8_line_quality,
+        "op5_water_filling": mixing.op5_water_filling,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_perspective_rotation": chat.ORACLE_SQL,
+        "op6_url_rules": url_filter.ORACLE_SQL,
+        "op5_water_filling": mixing.ORACLE_SQL,
+        "op8_line_quality": quality.ORACLE_SQL,
+    }
