@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, minhash, mixing, neighbours, packing, quality, token_output, url_filter
+from tallyforge.llm import chat, language, minhash, mixing, neighbours, packing, quality, token_output, url_filter
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_simple8b": token_output.op3_simple8b,
         "op8_line_quality": quality.op8_line_quality,
         "op5_water_filling": mixing.op5_water_filling,
+        "op4_crf_language": language.op4_crf_language,
         "op9_multi_index_hashing": neighbours.op9_multi_index_hashing,
         "op10_super_minhash": minhash.op10_super_minhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
