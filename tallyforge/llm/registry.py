@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, language, minhash, mixing, neighbours, packing, quality, token_output, url_filter
+from tallyforge.llm import chat, language, line_templates, minhash, mixing, neighbours, packing, quality, token_output, url_filter
 
 
 def queries():
     return {
         "op1_perspective_rotation": chat.op1_perspective_rotation,
+        "op2_line_templates": line_templates.op2_line_templates,
         "op6_url_rules": url_filter.op6_url_rules,
         "op3_simple8b": token_output.op3_simple8b,
         "op8_line_quality": quality.op8_line_quality,
@@ -22,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_perspective_rotation": chat.ORACLE_SQL,
+        "op2_line_templates": line_templates.ORACLE_SQL,
         "op6_url_rules": url_filter.ORACLE_SQL,
         "op5_water_filling": mixing.ORACLE_SQL,
         "op8_line_quality": quality.ORACLE_SQL,
