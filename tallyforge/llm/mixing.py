@@ -93,14 +93,33 @@ def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str =
 
     gap = marked.groupBy(F.col("source").alias("s")).agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))), F.lit(0))).alias("gap"))
     left = marked.filter(~F.col("in") & (F.col("size") > 0) & (F.col("rest") > 0)).select("source", "bucket", "hash", "nth", "size")
-    near = left.join(gap, left["source"].eqNullSafe(gap["s"])).filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    # by source and bucket, like all joins here: a source alone may hold most rows
+    gaps = begun.join(gap, begun["source"].eqNullSafe(gap["s"])).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "gap")
+    near = left.join(gaps, left["source"].eqNullSafe(gaps["s"]) & (left["bucket"] == gaps["b"])).filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
     last = near.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "bucket", "hash", "nth")).alias("extra"))
-    taken = marked.join(last, marked["source"].eqNullSafe(last["s"]), "left")
+    taken = marked.join(last, marked["source"].eqNullSafe(last["s"]) & (marked["bucket"] == last["extra.bucket"]), "left")
     is_extra = F.coalesce((F.col("bucket") == F.col("extra.bucket")) & (F.col("nth") == F.col("extra.nth")), F.lit(False))
     repeats = F.col("whole") + F.when(F.col("in") | is_extra, 1).otherwise(0)
     return taken.select("row.doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), *(F.col("row")[c].alias(c) for c in carry))
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """Each row of docs as often as the mix takes it, its columns as they are.
+
+    The mix is made on sizes alone; texts move once, to meet their number of repetitions.
+    """
+    key = ("doc_id", "source", "digest")
+    digest = F.xxhash64(F.col("text").cast("string"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), digest.alias("digest"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")).withColumn("nth", nth)
+    mixed = mix(docs.select("doc_id", "text", "source", digest.alias("digest")), "digest").withColumn("nth", nth).select(*(F.col(c).alias(f"m_{c}") for c in (*key, "nth")), "repeats")
+    met = rows["nth"] == mixed["m_nth"]
+    for c in key:
+        met = met & rows[c].eqNullSafe(mixed[f"m_{c}"])
+    again = rows.join(mixed, met).filter("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("k"))
+    return again.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(common.table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
