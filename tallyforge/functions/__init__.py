@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Column functions: text, names, amounts, similarity, geometry, and the controlled vocabularies."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""DataFrame operators: evidence matching, candidates, sub-items, tables, review, overlays."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Sources and sinks at the engine's boundary."""

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""The upload trigger as a stream."""
