@@ -16,9 +16,11 @@ THRESHOLD = 80
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree on fewer than this many of SLOTS values are not verified: at a
-#: similarity of 0.8 the expected number is 77 with a deviation of 4, so 38 is 10 deviations off.
-LEAST_AGREED = 38
-STAR_ROUNDS = 3
+#: similarity of 0.8 the expected number is 77 with a deviation of 3.9, so 53 is 6 deviations off.
+LEAST_AGREED = 53
+STAR_ROUNDS = 2
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -221,10 +223,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets form a class; classes, not copies, are compared. A class's signature puts it
     into BANDS buckets. Within a bucket classes are first compared with one of them, the
-    choice changing by round; then all pairs that are still in different components, so
-    that no link between components is lost and a bucket of copies costs its size, not its
-    square. Every link is confirmed on the full sets. A pair at 80 % shares no bucket with
-    a probability of 3e-6.
+    choice changing by round, which joins most of a group. What is left in different
+    components is compared in blocks of at most BLOCK x BLOCK members, inside a task that
+    keeps its own union-find, compares likely pairs first, skips those already joined and
+    hands on only the links that join components. So no link between components is lost
+    and pairs are never rows. Every link is confirmed on the full sets. A pair at 80 %
+    shares no bucket with a probability of 3e-6.
 
     Null or empty text, or one without words: an empty set, linked with nothing. Null
     doc_id: component_id null, kept false; a text that only such rows hold links nothing.
@@ -251,20 +255,14 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     signatures = held.select("digest", "signature")
 
     links: DataFrame | None = None
-    tested: DataFrame | None = None
     roots: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         open_members = members if roots is None else unsettled(members, roots)
-        if roots is not None and open_members.isEmpty():
-            break
-        pairs = stars(open_members, turn) if turn < STAR_ROUNDS else cross_pairs(open_members)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = common.staged(verified(pairs, signatures, sets), "verified")
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        new = checked.filter("linked").select("a", "b")
+        new = common.staged(verified(stars(open_members, turn), signatures, sets), "verified")
         links = new if links is None else links.union(new)
         roots = components(links)
+    links = links.union(common.staged(swept(unsettled(members, roots), signatures, sets), "swept"))
+    roots = components(links)
     labelled = held.select("digest", "first_id", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("members")).filter("members > 1")
     return labelled.join(least, "root").select("digest", "component_id")
@@ -304,20 +302,101 @@ def stars(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose components differ."""
-    a = members.select("bucket", F.col("digest").alias("a"), F.col("root").alias("ra"))
-    b = members.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, "bucket").filter("a < b and ra <> rb").select("a", "b").distinct()
+def blocked(members: DataFrame) -> DataFrame:
+    """Members of buckets of three or more, once for each block of their bucket that they meet.
+
+    (In a bucket of two the star has compared the only pair.)
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    sized = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = sized.withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), F.col("blocks")).cast("int"))
+    met = placed.select("digest", "root", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("digest", "root", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _close(signatures: np.ndarray, roots: np.ndarray, own: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows after i that may link with row i across components, likeliest first, and their agreement."""
+    across = own[i] != own[i + 1 :] if own[0] != own[-1] else np.ones(len(own) - i - 1, bool)
+    agreed = (signatures[i + 1 :] == signatures[i]).sum(axis=1)
+    rows = np.flatnonzero(across & (roots[i + 1 :] != roots[i]) & (agreed >= LEAST_AGREED))
+    return rows + i + 1, agreed[rows]
+
+
+def _block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    table = table.sort_by([("own", "ascending"), ("digest", "ascending")])
+    signatures = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    _, roots = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
+    return table, signatures, roots, table.column("own").to_numpy()
+
+
+def swept(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links(a, b) that join components within a bucket; of pairs already joined none are handed on.
+
+    First signatures alone tell which members have a likely partner in another component;
+    only their full sets travel.
+    """
+    def likely(table: pa.Table) -> pa.Table:
+        table, signature, roots, own = _block(table)
+        hit = np.zeros(len(roots), bool)
+        for i in range(len(roots) - 1):
+            rows, _ = _close(signature, roots, own, i)
+            hit[rows] = True
+            hit[i] |= len(rows) > 0
+        return table.filter(pa.array(hit)).select(["digest", "root", "bucket", "own", "lo", "hi", "short"])
+
+    def link(table: pa.Table) -> pa.Table:
+        table, signature, roots, own = _block(table)
+        digests = table.column("digest").to_pylist()
+        values = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
+        size = np.array([len(v) for v in values])
+        names, local = np.unique(np.concatenate(values), return_inverse=True)
+        end = np.cumsum(size)
+        parent = np.arange(len(digests))
+        found = []
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        first_of: dict[int, int] = {}
+        for i, r in enumerate(roots.tolist()):
+            parent[i] = first_of.setdefault(r, i)
+        mark = np.zeros(len(names), bool)
+        for i in range(len(digests) - 1):
+            rows, agreed = _close(signature, roots, own, i)
+            rows = rows[np.argsort(-agreed, kind="stable")]
+            if not len(rows):
+                continue
+            mark[:] = False
+            mark[local[end[i] - size[i] : end[i]]] = True
+            for j in rows.tolist():
+                if top(i) != top(j):
+                    shared = int(mark[local[end[j] - size[j] : end[j]]].sum())
+                    if 100 * shared >= THRESHOLD * (size[i] + size[j] - shared):
+                        parent[top(j)] = top(i)
+                        found.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    @F.udf("binary", useArrow=True)
+    def short(signature):
+        return np.frombuffer(signature, "<u4").astype(np.uint8).tobytes()
+
+    brief = signatures.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", short("signature").alias("short"))
+    key = ("bucket", "lo", "hi")
+    schema = "digest binary, root binary, bucket long, own int, lo int, hi int, short binary"
+    near = blocked(members).join(brief, "digest").groupBy(*key).applyInArrow(likely, schema)
+    return near.join(sets.select("digest", "shingles"), "digest").groupBy(*key).applyInArrow(link, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with linked: 100 * shared >= THRESHOLD * united on the full sets."""
+    """Of pairs(a, b) those with 100 * shared >= THRESHOLD * united on the full sets."""
     def agree(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SLOTS) for c in ("x", "y"))
-                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1) >= LEAST_AGREED)], ["a", "b", "close"])
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREED))
 
     def compare(batches):
         for batch in batches:
@@ -328,17 +407,15 @@ def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFr
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * shared >= THRESHOLD * (len(both) - shared))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     def beside(p: DataFrame, values: DataFrame, value: str) -> DataFrame:
         one = p.join(values.select(F.col("digest").alias("a"), F.col(value).alias("x")), "a")
         return one.join(values.select(F.col("digest").alias("b"), F.col(value).alias("y")), "b")
 
-    judged = common.staged(beside(pairs, signatures, "signature").mapInArrow(agree, "a binary, b binary, close boolean"), "judged")
-    counts = sets.select("digest", "n")
-    near = beside(judged.filter("close"), counts, "n").filter(100 * F.least("x", "y") >= THRESHOLD * F.greatest("x", "y")).select("a", "b")
-    exact = beside(near, sets, "shingles").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary, linked boolean")
-    return judged.select("a", "b").join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+    judged = common.staged(beside(pairs, signatures, "signature").select("a", "b", "x", "y").mapInArrow(agree, "a binary, b binary"), "judged")
+    near = beside(judged, sets.select("digest", "n"), "n").filter(100 * F.least("x", "y") >= THRESHOLD * F.greatest("x", "y")).select("a", "b")
+    return beside(near, sets, "shingles").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
