@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
+
 TOLERANCE = 0.01
 #: Same-page components are searched for amounts below this only.
 COMPONENT_LIMIT = 10_000
@@ -87,27 +89,29 @@ def first_sum(one: DataFrame, group: tuple[str, ...], pos: str) -> DataFrame:
     """The first subset of 2 to 4 rows of each group whose values sum to the group's target.
 
     one: group columns, target, pos, value. Sums are taken in the order of positions, left
-    to right, as doubles. A pair and its remainder meet on the cents of the remainder.
+    to right, as doubles. A pair and its remainder meet on the cents of the remainder. The
+    rows are read many times over, so their lineage is cut.
     """
     g = list(group)
+    one = cut(one)
     a = one.select(*g, "target", F.col(pos).alias("p1"), F.col("value").alias("v1"))
     second = one.select(*g, F.col(pos).alias("p2"), F.col("value").alias("v2"), cents(F.col("value")).alias("cents"))
     # pairs
     two = a.withColumn("cents", nearby(F.col("target") - F.col("v1"))).join(second, [*g, "cents"]).filter("p1 < p2")
-    two = two.filter(F.abs(F.col("v1") + F.col("v2") - F.col("target")) < TOLERANCE).select(*g, F.lit(2).alias("size"), F.array("p1", "p2").alias("positions"), F.array("v1", "v2").alias("values")).distinct()
-    found = _earliest(two, g)
+    two = two.filter(F.abs(F.col("v1") + F.col("v2") - F.col("target")) < TOLERANCE).select(*g, F.lit(2).alias("size"), F.array("p1", "p2").alias("positions"), F.array("v1", "v2").alias("values"))
+    found = cut(_earliest(two, g))
     rest = one.join(found.select(*g), g, "left_anti")
     # all ordered pairs of what is not yet found
     pairs = rest.select(*g, "target", F.col(pos).alias("p1"), F.col("value").alias("v1")).join(rest.select(*g, F.col(pos).alias("p2"), F.col("value").alias("v2")), g).filter("p1 < p2")
     third = rest.select(*g, F.col(pos).alias("p3"), F.col("value").alias("v3"), cents(F.col("value")).alias("cents"))
     three = pairs.withColumn("cents", nearby(F.col("target") - (F.col("v1") + F.col("v2")))).join(third, [*g, "cents"]).filter("p2 < p3")
-    three = three.filter(F.abs(F.col("v1") + F.col("v2") + F.col("v3") - F.col("target")) < TOLERANCE).select(*g, F.lit(3).alias("size"), F.array("p1", "p2", "p3").alias("positions"), F.array("v1", "v2", "v3").alias("values")).distinct()
-    found3 = _earliest(three, g)
+    three = three.filter(F.abs(F.col("v1") + F.col("v2") + F.col("v3") - F.col("target")) < TOLERANCE).select(*g, F.lit(3).alias("size"), F.array("p1", "p2", "p3").alias("positions"), F.array("v1", "v2", "v3").alias("values"))
+    found3 = cut(_earliest(three, g))
     open4 = pairs.join(found3.select(*g), g, "left_anti")
     later = open4.select(*g, F.col("p1").alias("p3"), F.col("v1").alias("v3"), F.col("p2").alias("p4"), F.col("v2").alias("v4"), cents(F.col("v1") + F.col("v2")).alias("cents"))
     four = open4.withColumn("cents", nearby(F.col("target") - (F.col("v1") + F.col("v2")))).join(later, [*g, "cents"]).filter("p2 < p3")
     four = four.filter(F.abs(F.col("v1") + F.col("v2") + F.col("v3") + F.col("v4") - F.col("target")) < TOLERANCE)
-    four = four.select(*g, F.lit(4).alias("size"), F.array("p1", "p2", "p3", "p4").alias("positions"), F.array("v1", "v2", "v3", "v4").alias("values")).distinct()
+    four = four.select(*g, F.lit(4).alias("size"), F.array("p1", "p2", "p3", "p4").alias("positions"), F.array("v1", "v2", "v3", "v4").alias("values"))
     return found.unionByName(found3).unionByName(_earliest(four, g))
 
 
@@ -118,7 +122,7 @@ def _earliest(hits: DataFrame, group: list[str]) -> DataFrame:
 
 def amount_page_scores(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
     """M3: (row_id, doc, page, score, strategy, values): .95 exact, .85 components, else no row."""
-    exact = first_exact(items, page_amounts)
+    exact = cut(first_exact(items, page_amounts))
     parts = component_hits(items, page_amounts, exclude=exact)
     return exact.select("row_id", "doc", "page", F.lit(0.95).alias("score"), F.lit("exact").alias("strategy"), F.array("value").alias("values")).unionByName(
         parts.select("row_id", "doc", "page", F.lit(0.85).alias("score"), F.lit("component").alias("strategy"), "values")
@@ -134,7 +138,7 @@ def amount_candidates(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
 
 def amount_route(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
     """M5: (row_id, doc, pages, score, strategy, values): M4, and where it has nothing the cross-page sum (.80)."""
-    same = amount_candidates(items, page_amounts)
+    same = cut(amount_candidates(items, page_amounts))
     rest = items.join(same.select("row_id"), "row_id", "left_anti")
     cross = cross_page_hits(rest, page_amounts)
     return same.select("row_id", "doc", F.array("page").alias("pages"), "score", "strategy", "values").unionByName(

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Derived views over the star schema, and the registered queries with their SQL."""
