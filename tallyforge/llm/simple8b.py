@@ -25,38 +25,67 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+_WIDTH16 = np.zeros(1 << 16, np.uint8)
+for _bits in range(16):
+    _WIDTH16[1 << _bits :] = _bits + 1
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits of each value; 64 stands for more than 60."""
+    """Bits of each value."""
+    if not len(values) or values.max() < 1 << 16:
+        return _WIDTH16[values]
     w = np.zeros(len(values), np.uint8)
-    for bits in sorted(set(BITS.tolist()) | {60}):
-        w[values >> np.uint64(bits) != 0] = np.uint8({0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8, 8: 10, 10: 12, 12: 15, 15: 20, 20: 30, 30: 60, 60: 64}[bits])
+    for shift in (48, 32, 16, 0):
+        part = (values >> np.uint64(shift)).astype(np.uint64)
+        here = (w == 0) & (part != 0)
+        w[here] = _WIDTH16[part[here].astype(np.int64)] + shift
     return w
 
 
+def _selectors(width: np.ndarray) -> np.ndarray:
+    """The selector of a word that would start at each place: the one that holds most values.
+
+    A run that fits a selector fits every selector of fewer values, so each selector looks
+    only at the places that the one before it left.
+    """
+    n = len(width)
+    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
+    best = np.where(width <= 60, 15, 0).astype(np.uint8)
+    most, held = width.copy(), 1
+    places = None
+    for s in range(14, 0, -1):
+        c, b = int(COUNTS[s]), int(BITS[s])
+        if places is None:
+            for k in range(held, c):
+                np.maximum(most[: n - k], width[k:], out=most[: n - k]) if n > k else None
+            fits = (most <= b) & (left >= c)
+            if s <= 12:
+                places = np.flatnonzero(fits)
+                best[places] = s
+                most = most[places]
+            else:
+                best[fits] = s
+        else:
+            room = left[places] >= c
+            places, most = places[room], most[room]
+            for k in range(held, c):
+                most = np.maximum(most, width[places + k])
+            fits = most <= b
+            places, most = places[fits], most[fits]
+            best[places] = s
+        held = c
+        if places is not None and not len(places):
+            break
+    return best
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the first word of each block with one past the end, and escaped values."""
     v = np.ascontiguousarray(values, np.uint64)
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
-    width = _widths(v)
-    left = BLOCK - np.arange(n) % BLOCK
-    left = np.minimum(left, n - np.arange(n))
-    # most[p][i]: the largest width among the p values from i on, p a power of two
-    most = {1: width}
-    for p in (2, 4, 8, 16, 32, 64):
-        m = most[p // 2].copy()
-        m[: n - p // 2] = np.maximum(m[: n - p // 2], most[p // 2][p // 2 :]) if n > p // 2 else m[: n - p // 2]
-        most[p] = m
-    best = np.zeros(n, np.uint8)
-    for s in range(15, 0, -1):  # later ones hold more values
-        c, b = int(COUNTS[s]), int(BITS[s])
-        p = 1 << (c.bit_length() - 1)
-        m = most[p]
-        if c > p:
-            m = m.copy()
-            m[: max(0, n - (c - p))] = np.maximum(m[: max(0, n - (c - p))], most[p][c - p :])
-        best[(m <= b) & (left >= c)] = s
+    best = _selectors(_widths(v))
     step = COUNTS[best]
     first = np.zeros(n, bool)
     at = np.arange(0, n, BLOCK)

@@ -23,9 +23,10 @@ import pyarrow.compute as pc
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-ž‐-‧€]*")
 _LETTER = "a-zªµºß-öø-ÿĀ-ž"
 _DIGIT = "0-9²³¹¼-¾"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ {_LETTER}{_DIGIT}]+")
+#: The vocabulary's split, of lower-cased words joined by line feeds, which come out too.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|\n|[^ \n{_LETTER}{_DIGIT}]+")
 #: Words and pieces a worker remembers; beyond this it starts anew, so its memory is bounded.
-_REMEMBERED = 700_000
+_REMEMBERED = 500_000
 
 
 def default_vocabulary() -> str:
@@ -68,9 +69,12 @@ class _Store:
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for text that is normalised and split already
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -85,7 +89,7 @@ class Encoder:
     def _new_pieces(self, new: list[str]) -> None:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids, _ = self._whole([" ".join(part)])
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.final[ids]) + 1
             lens = np.diff(ends, prepend=0)
             if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
@@ -93,14 +97,16 @@ class Encoder:
             self.pieces.add(part, ids, lens)
 
     def _new_words(self, new: list[str]) -> None:
-        split = [_PIECE.findall(w) for w in new]
-        flat = [p for x in split for p in x]
-        self._new_pieces(list(set(flat).difference(self.pieces.index)))
-        get = self.pieces.index.__getitem__
-        ids, ends = self.pieces.take(np.fromiter(map(get, flat), np.int64, len(flat)))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        self.words.add(new, ids, np.diff(upto))
+        flat = _PIECE.findall("\n".join([*new, ""]))
+        index = self.pieces.index
+        self._new_pieces([p for p in set(flat).difference(index) if p != "\n"])
+        # a word's end has no ids of its own
+        if "\n" not in index:
+            self.pieces.add(["\n"], np.zeros(0, np.int32), np.zeros(1, np.int64))
+        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        ids, ends = self.pieces.take(at)
+        upto = ends[at == index["\n"]]
+        self.words.add(new, ids, np.diff(upto, prepend=0))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text. Null: none."""
@@ -139,7 +145,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part's texts have about limit bytes, whatever their number."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit
