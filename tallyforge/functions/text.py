@@ -229,7 +229,7 @@ def employee_slug(first: Column, last: Column) -> Column:
 
 def manual_keywords(c: Column) -> Column:
     """Comma-split, trimmed, without empties."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def add_keyword(keywords: Column, word: Column) -> Column:

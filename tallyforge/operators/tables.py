@@ -55,7 +55,7 @@ def associate(amounts: DataFrame, cells: DataFrame) -> DataFrame:
     cell = cells.select("doc", "page", "table_id", "seq", "row_index", "row_span", F.col("text").alias("cell_text"))
     hit = amounts.select("doc", "page", "pos", "raw").join(cell, ["doc", "page"]).filter(F.contains("cell_text", F.col("raw")))
     bare = F.trim("cell_text")
-    lines = F.transform(F.split(bare, "\n"), F.trim)
+    lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(x))
     line = F.array_position(F.transform(lines, lambda x: F.contains(x, F.col("raw"))), F.lit(True)) - 1
     direct = (bare == F.col("raw")) | (~F.contains(bare, F.lit("\n")) & (F.col("row_span") <= 1))
     place = F.when(direct | ~F.contains(bare, F.lit("\n")), F.col("row_index")).when(line >= 0, F.col("row_index") + line)
