@@ -247,6 +247,11 @@ def search_words(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 2)
 
 
+def shortened(c: Column, most: int) -> Column:
+    """What of a text goes into a prompt."""
+    return F.substring(F.coalesce(c, F.lit("")), 1, most)
+
+
 def highlight_labels(amount: Column, first: Column, last: Column) -> Column:
     """P42."""
     name = F.nullif(F.trim(F.concat_ws(" ", first, last)), F.lit(""))

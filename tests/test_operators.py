@@ -210,3 +210,18 @@ def test_review_search(spark):
     assert {(r["page"], r["hits"]) for r in review.search(words, "the").collect()} == {(1, 1), (2, 1)}
     assert [r["page"] for r in review.search(words, "the,cat", every=True).collect()] == [1]
     assert review.search(words, "x").count() == 0
+
+
+def test_reconcile(spark):
+    from tallyforge.plans.reconcile import reconcile
+
+    items = spark.createDataFrame([("r0", 0, "d", "Supplies", 150.0, None, None, "paper"), ("r1", 1, "d", "Supplies", 0.0, None, None, None), ("r2", 2, "none", "Salary", 5.0, "John", "Doe", None)], "row_id string, row_index int, doc string, budget_item string, amount double, first_name string, last_name string, explanation string")
+    pages = spark.createDataFrame([("d", 1, "paper", entity("invoice", values=[7.0])), ("d", 2, "", entity(values=[100.0, 50.0]))], PAGE)
+    overrides = spark.createDataFrame([("r1", "d", [1], 1)], "row_id string, doc_id string, pages array<int>, seq int")
+    done = reconcile(items, pages, overrides=overrides)
+    got = {r["row_id"]: (r["doc_id"], r["pages"], r["selection_source"]) for r in done.selected.collect()}
+    assert got == {"r0": ("d", [2], "auto"), "r1": ("d", [1], "user"), "r2": (None, [], "auto")}
+    assert {r["group_id"] for r in done.navigation.collect()} == {"supplies", "salary", "salary__john_doe"}
+    words = spark.createDataFrame([("d", 2, 0, "150.00", 0.1, 0.1, 0.1, 0.1), ("d", 1, 0, "150.00", 0.1, 0.1, 0.1, 0.1)], "doc string, page int, pos int, text string, left double, top double, width double, height double")
+    marks = candidates.highlights(done.candidates.filter("rank = 1"), items, words).collect()
+    assert [(m["row_id"], m["page"], len(m["boxes"])) for m in marks] == [("r0", 2, 1)]
