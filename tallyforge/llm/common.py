@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the Python workers, once for each application.
+
+    Workers then import it wherever they start; nothing need be installed on the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tallyforge_sent", None) == context.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    package = os.path.join(root, "tallyforge")
+    if os.path.isdir(package):
+        path = os.path.join(tempfile.mkdtemp(prefix="tallyforge-code-"), "tallyforge_code.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        context.addPyFile(path)
+    context._tallyforge_sent = context.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 

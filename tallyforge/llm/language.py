@@ -290,6 +290,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     likeliest languages differ. Null text, or one without a letter (or a model without
     labels): `und`, score 0. Every row is judged; other columns are ignored.
     """
+    common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):

@@ -162,18 +162,6 @@ def _digests(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(data[e - 8 * n : e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), counts.tolist())]
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """docs' columns with n_shingles and digest, a 128-bit digest of the set (null: empty)."""
-    def digest(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                sets, counts = _sets_of(part)
-                yield part.drop_columns(["text"]).append_column("n_shingles", pa.array(counts.astype(np.int64))).append_column("digest", pa.array(_digests(sets, counts), pa.binary()))
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(digest, f"{kept}, n_shingles long, digest binary")
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest, signature, bands) of docs(doc_id, text)."""
     def sign(batches):
@@ -235,6 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated doc_ids: each row belongs to its own text's group. No rows: none
     out. Other columns are ignored.
     """
+    common.ship(docs.sparkSession)
     rows = common.staged(signed(docs), "signed")
     found = classes(rows, docs)
     joined = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")

@@ -133,6 +133,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vec_id. Fewer candidates than k: all. No rows: none out. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    common.ship(spark)
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists("x", lambda v: v != 0)
     fit = vectors.select(F.col("vec_id").cast("long"), x.alias("x")).filter(F.col("vec_id").isNotNull() & sound).withColumn("d", F.size("x"))

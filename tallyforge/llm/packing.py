@@ -78,6 +78,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0,
 
     A piece's rank counts the pieces of its length that its partition made before it.
     """
+    common.ship(docs.sparkSession)
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def cut(batches):
@@ -119,6 +120,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     length's pieces are gathered anywhere, so a length may hold most of all pieces.
     pieces must be a stored table, read the same each time.
     """
+    common.ship(pieces.sparkSession)
     names = pieces.columns
     counts = common.staged(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     plan = plan_best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

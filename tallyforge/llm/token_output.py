@@ -28,6 +28,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
     Null or empty text: only the end id. Null doc_id: first. Equal doc_ids: by text.
     No rows: an empty table. Other columns are ignored.
     """
+    common.ship(docs.sparkSession)
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def encode(batches):
@@ -77,6 +78,7 @@ def read_token_shards(shards: DataFrame, schema: str, rows: Callable[[list, np.n
     The ids before each part are summed from the shards' own counts: one number for each
     write partition comes to the driver, never more.
     """
+    common.ship(shards.sparkSession)
     base, total = {}, 0
     for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         base[r["part"]], total = total, total + r["n"]
@@ -114,6 +116,8 @@ def digests(shards: DataFrame) -> DataFrame:
 
 def export_shards(shards: DataFrame, folder: str) -> int:
     """Writes each image to folder/part-seq.s8b, a folder all executors see; returns the number of files."""
+    common.ship(shards.sparkSession)
+
     def put(batches):
         from pyarrow import fs
 

@@ -43,6 +43,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     interval meets. Each task then sweeps its sorted rows once and keeps a stack of the
     nested rule hosts that are open.
     """
+    common.ship(pages.sparkSession)
     n = common.partitions(pages)
     host, path = parts(F.col("url").cast("string"))
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("page_id")})
