@@ -54,14 +54,8 @@ def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return met.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """docs(doc_id, text, ...) with the text's recurring lines dropped, and n_lines, n_dropped.
-
-    Other columns stay as they are; the two new ones go last. Null text: stays null, no
-    lines. Empty lines never recur. Null doc_id: its lines count, and are dropped where a
-    template's first document has an id. Repeated rows: alike rows are treated alike, and
-    each counts as a document. No rows: none out.
-    """
+def _marked(docs: DataFrame, least_docs: int) -> DataFrame:
+    """(row, kept, n_lines, n_dropped): each row of docs as a struct, and its text without recurring lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = recurring_lines(docs, least_docs).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "dropped")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.xxhash64(text).alias("hash"))
@@ -69,16 +63,29 @@ def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
     kept = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n"))
     return joined.select(
-        *((kept if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns),
+        "row",
+        kept.alias("kept"),
         F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
-def without_emptied(docs: DataFrame) -> DataFrame:
-    """drop_recurring, then only the documents that still have a word or lost no line."""
-    done = drop_recurring(docs)
-    return done.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD)).drop("n_lines", "n_dropped")
+def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs(doc_id, text, ...) with the text's recurring lines dropped, and n_lines, n_dropped.
+
+    Other columns stay as they are; the two new ones go last and replace columns of their
+    names. Null text: stays null, no lines. Empty lines never recur. Null doc_id: its lines
+    count, and are dropped where a template's first document has an id. Repeated rows: alike
+    rows are treated alike, and each counts as a document. No rows: none out.
+    """
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _marked(docs, least_docs).select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in own), "n_lines", "n_dropped")
+
+
+def without_emptied(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs without recurring lines, and without the rows that lost all their words; the columns of docs."""
+    left = _marked(docs, least_docs).filter((F.col("n_dropped") == 0) | F.col("kept").rlike(WORD))
+    return left.select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

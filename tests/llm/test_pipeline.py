@@ -31,3 +31,18 @@ def test_empty(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         now = common.staged(stage(spark, now, ""), "stage")
     assert now.count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    """Columns named like those the stages make for themselves come through unchanged."""
+    from pyspark.sql import functions as F
+
+    names = ["row", "kept", "hash", "digest", "size", "repeats", "target", "n_lines", "n_dropped", "cleaned", "bucket", "component_id", "part", "piece", "keys"]
+    now = docs.select("*", *(F.lit(f"{n}!").alias(n) for n in names))
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.staged(stage(spark, now, ""), "stage")
+        assert now.columns == columns
+        assert now.filter(F.concat(*names) != "".join(f"{n}!" for n in names)).count() == 0
+    assert now.count()
+    assert "row" not in corpus_pipeline.STAGES[-1][1](spark, now, "").columns
