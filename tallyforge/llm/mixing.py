@@ -13,7 +13,7 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Leading digits of a document's hash: buckets of a source, so that no source is sorted in one task.
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
