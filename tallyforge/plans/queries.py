@@ -199,16 +199,18 @@ def employee_score(spark, d):
     return scoring.employee_scores(items, _page(spark, d)).select("row_id", "doc", "page", F.round("score", 6).alias("score"), F.array_join("rationale", "; ").alias("rationale"))
 
 
-_LCS = "list_reduce(list_filter(string_split(a, ''), lambda c: c <> ''), lambda acc, ch: acc, [0])"
+_LCS = """list_reduce(list_filter(string_split(a, ''), lambda c: c <> ''), lambda prev, ch: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc,
+    CASE WHEN substr(b, j, 1) = ch THEN (CASE WHEN j > 1 THEN prev[j - 1] ELSE 0 END) + 1 ELSE greatest(prev[j], CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END) END), []::BIGINT[]), list_transform(range(len(b)), lambda x: 0::BIGINT))[-1]"""
+_RATIO = f"round(200.0::DOUBLE * {_LCS} / (len(a) + len(b)), 6) AS ratio"
 
 
-@query(None)
+@query(f"SELECT p_partkey, {_RATIO} FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)")
 def indel_ratio(spark, d):
     names = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
     return names.select("p_partkey", F.round(text.indel_ratio(F.lower("p_name"), F.lower("p_type")), 6).alias("ratio"))
 
 
-@query(None)
+@query(f"SELECT p_partkey, {_RATIO}, 100.0::DOUBLE AS same FROM (SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS a, array_to_string(list_sort(list_append(string_split(p_name, ' '), p_brand)), ' ') AS b FROM part)")
 def token_sort_ratio(spark, d):
     names = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand")
     turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
