@@ -26,7 +26,7 @@ _DIGIT = "0-9²³¹¼-¾"
 #: The vocabulary's split, of lower-cased words joined by line feeds, which come out too.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|\n|[^ \n{_LETTER}{_DIGIT}]+")
 #: Words and pieces a worker remembers; beyond this it starts anew, so its memory is bounded.
-_REMEMBERED = 500_000
+_REMEMBERED = 250_000
 
 
 def default_vocabulary() -> str:
