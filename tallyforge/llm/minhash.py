@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common
 
-SHINGLE = 4
+#: Words of a shingle: by the contract of op10, and for documents of the pipeline.
+SHINGLE, STAGE_SHINGLE = 4, 5
 THRESHOLD = 80
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
@@ -150,10 +151,10 @@ def _parts(batch: pa.RecordBatch, limit: int = 2_000_000):
     return tokens.batches(batch, limit=limit)
 
 
-def _sets_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _sets_of(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
-    return shingle_sets(pc.fill_null(part.column("text"), "").cast(pa.string()))
+    return shingle_sets(pc.fill_null(part.column("text"), "").cast(pa.string()), width)
 
 
 def _digests(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
@@ -162,12 +163,12 @@ def _digests(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(data[e - 8 * n : e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), counts.tolist())]
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature, bands) of docs(doc_id, text)."""
+def signed(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, digest, signature, bands) of docs(doc_id, text), by shingles of width words."""
     def sign(batches):
         for batch in batches:
             for part in _parts(batch):
-                sets, counts = _sets_of(part)
+                sets, counts = _sets_of(part, width)
                 s = super_minhash(sets, counts)
                 keys = band_keys(s).astype(np.int64)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
@@ -203,9 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Groups docs(doc_id, text) by chains of shingle-set similarity of at least THRESHOLD %.
 
+    A shingle is width words.
+
     Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id reachable, itself included), kept (doc_id = component_id).
 
@@ -224,14 +227,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out. Other columns are ignored.
     """
     common.ship(docs.sparkSession)
-    rows = common.staged(signed(docs), "signed")
-    found = classes(rows, docs)
+    rows = common.staged(signed(docs, width), "signed")
+    found = classes(rows, docs, width)
     joined = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def classes(rows: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(digest, component_id) of every class that holds several rows or links to another class."""
     grouped = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bands", "signature")).alias("any"))
     held = common.staged(grouped.select("digest", "first_id", "n", "any.bands", "any.signature"), "classes")
@@ -240,7 +243,7 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     members = common.staged(places.join(shared, "bucket"), "members")
     involved = members.select("digest").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    sets = common.staged(class_sets(texts, rows, involved), "sets")
+    sets = common.staged(class_sets(texts, rows, involved, width), "sets")
     signatures = held.select("digest", "signature")
 
     links: DataFrame | None = None
@@ -257,14 +260,14 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return labelled.join(least, "root").select("digest", "component_id")
 
 
-def class_sets(texts: DataFrame, rows: DataFrame, involved: DataFrame) -> DataFrame:
+def class_sets(texts: DataFrame, rows: DataFrame, involved: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(digest, n, shingles) of the involved classes, from one row's text each."""
     one = rows.join(involved, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
     def gather(batches):
         for batch in batches:
             for part in _parts(batch):
-                sets, counts = _sets_of(part)
+                sets, counts = _sets_of(part, width)
                 data, ends = memoryview(sets.astype("<u8").tobytes()), np.cumsum(counts) * 8
                 shingles = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.record_batch([pa.array(_digests(sets, counts), pa.binary()), pa.array(counts.astype(np.int64)), pa.array([bytes(x) for x in shingles], pa.binary())], ["digest", "n", "shingles"])
@@ -411,9 +414,9 @@ def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of docs that stay: of each group its smallest doc_id; other columns as they are."""
-    judged = near_duplicates(docs.select("doc_id", "text"))
+    judged = near_duplicates(docs.select("doc_id", "text"), width)
     gone = judged.filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 

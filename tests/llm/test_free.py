@@ -138,6 +138,16 @@ def test_near_duplicates(spark, docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_keep_one_takes_shingles_of_five_words(spark):
+    """38 of 46 shingles of four words are shared (83 %), but 36 of 46 of five words (78 %)."""
+    words = [f"w{i}" for i in range(45)]
+    edited = [*words[:20], "x", *words[21:]]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == [1, 1, 1]
+    assert [r["doc_id"] for r in minhash.keep_one(df).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
     """Copies with chains of edits: similarities on both sides of the limit, in blocks of a few."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
