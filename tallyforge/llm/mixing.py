@@ -51,7 +51,34 @@ def source_targets(sized: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return water_fill(ranked.withColumn("weight", weight.cast("long")), max_epochs)
 
 
-def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def refilled(marked: DataFrame) -> DataFrame:
+    """(source, bucket, nth) of documents that fit what marked leaves of their source's rest.
+
+    Each round takes, of the documents that fit the gap by themselves, those in the order of
+    the hash until the next would pass it, as the first pass does with all documents; the
+    rounds end when none fits in any source. A round holds only what still fits.
+    """
+    within = Window.partitionBy("source", "bucket").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    now = marked.filter((F.col("size") > 0) & (F.col("rest") > 0)).select("source", "bucket", "nth", "size", F.col("rest").alias("gap"), "in")
+    taken: DataFrame | None = None
+    while True:
+        used = now.groupBy("source", "bucket").agg(F.max("gap").alias("gap"), F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).alias("used"))
+        gaps = used.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("gap") - F.sum("used").over(Window.partitionBy("source"))).alias("gap"))
+        open_ = now.filter(~F.col("in")).drop("gap")
+        fit = open_.join(gaps, open_["source"].eqNullSafe(gaps["s"]) & (open_["bucket"] == gaps["b"])).filter(F.col("size") <= F.col("gap")).drop("s", "b", "in")
+        fit = common.staged(fit, "fitting")
+        if fit.isEmpty():
+            return taken if taken is not None else fit.select("source", "bucket", "nth")
+        begun = fit.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("begun", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        begun = begun.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "begun")
+        placed = fit.withColumn("upto", F.sum("size").over(within)).join(begun, fit["source"].eqNullSafe(begun["s"]) & (fit["bucket"] == begun["b"]))
+        now = common.staged(placed.select("source", "bucket", "nth", "size", "gap", (F.col("begun") + F.col("upto") <= F.col("gap")).alias("in")), "refill")
+        new = now.filter("in").select("source", "bucket", "nth")
+        taken = new if taken is None else taken.union(new)
+
+
+def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str = SEED, refill: bool = False) -> DataFrame:
     """How often the mix takes each row of docs(doc_id, text, source).
 
     Returns doc_id, source, size, source_size, target, repeats and the columns carry.
@@ -59,6 +86,9 @@ def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str =
     repetitions of the source and a fraction: every document is taken for each whole one;
     the fraction takes documents in the order of a seeded hash until the next would pass
     the target, and then the one remaining document that comes nearest to what is left.
+    With refill the pass goes on, over the documents that still fit what is left, until none
+    does, before that one document is chosen; else a long document can end it far from the
+    target. op5's SQL has no refill.
 
     A source is never gathered or sorted whole: its documents fall into 16**BUCKET_DIGITS
     buckets by hash, bucket sizes are summed first, and only a bucket's own documents are
@@ -91,6 +121,11 @@ def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str =
     reached = ordered.join(keys, ordered["source"].eqNullSafe(keys["s"]) & (ordered["bucket"] == keys["b"])).drop("s", "b").withColumn("upto", F.col("begun") + F.col("upto"))
     marked = common.staged(reached.withColumn("in", (F.col("size") > 0) & (F.col("upto") <= F.col("rest"))), "marked")
 
+    if refill:
+        more = refilled(marked).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("nth").alias("k"))
+        again = marked.join(more, marked["source"].eqNullSafe(more["s"]) & (marked["bucket"] == more["b"]) & (marked["nth"] == more["k"]), "left")
+        marked = common.staged(again.withColumn("in", F.col("in") | F.col("k").isNotNull()).drop("s", "b", "k"), "marked")
+
     gap = marked.groupBy(F.col("source").alias("s")).agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))), F.lit(0))).alias("gap"))
     left = marked.filter(~F.col("in") & (F.col("size") > 0) & (F.col("rest") > 0)).select("source", "bucket", "hash", "nth", "size")
     # by source and bucket, like all joins here: a source alone may hold most rows
@@ -103,8 +138,8 @@ def mix(docs: DataFrame, *carry: str, max_epochs: int = MAX_EPOCHS, seed: str =
     return taken.select("row.doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), *(F.col("row")[c].alias(c) for c in carry))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Each row of docs as often as the mix takes it, its columns as they are.
+def repeated(docs: DataFrame, refill: bool = False) -> DataFrame:
+    """Each row of docs as often as the mix, with or without refill, takes it, its columns as they are.
 
     The mix is made on sizes alone; texts move once, to meet their number of repetitions.
     """
@@ -112,7 +147,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(F.col("text").cast("string"))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), digest.alias("digest"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")).withColumn("nth", nth)
-    mixed = mix(docs.select("doc_id", "text", "source", digest.alias("digest")), "digest").withColumn("nth", nth).select(*(F.col(c).alias(f"m_{c}") for c in (*key, "nth")), "repeats")
+    mixed = mix(docs.select("doc_id", "text", "source", digest.alias("digest")), "digest", refill=refill).withColumn("nth", nth).select(*(F.col(c).alias(f"m_{c}") for c in (*key, "nth")), "repeats")
     met = rows["nth"] == mixed["m_nth"]
     for c in key:
         met = met & rows[c].eqNullSafe(mixed[f"m_{c}"])

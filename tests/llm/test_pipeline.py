@@ -1,9 +1,10 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import hashlib
 import re
 
 import corpus_pipeline
-from tallyforge.llm import common
+from tallyforge.llm import common, mixing
 
 
 def test_stages(spark, docs):
@@ -46,3 +47,16 @@ def test_clashing_columns(spark, docs):
         assert now.filter(F.concat(*names) != "".join(f"{n}!" for n in names)).count() == 0
     assert now.count()
     assert "row" not in corpus_pipeline.STAGES[-1][1](spark, now, "").columns
+
+
+def test_mixing_stage_goes_on_behind_a_long_document(spark):
+    """The first document in hash order is longer than its source's target; 720 short ones follow."""
+    first = min(range(721), key=lambda i: hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest())
+    rows = [(i, " ".join(["w"] * (4320 if i == first else 4)), "a") for i in range(721)]
+    rows += [(1000 + i, "w w w w", "b" if i < 280 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {r["source"]: r["target"] for r in mixing.mix(df).select("source", "target").distinct().collect()}
+    taken = dict.fromkeys(targets, 0)
+    for r in corpus_pipeline.mixing_weights(spark, df, "").select("source", "text").collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
