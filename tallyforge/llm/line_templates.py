@@ -14,6 +14,8 @@ LEAD, STRETCHES = 3, 4
 LEAST_OPEN = 8
 #: Documents that a template recurs in, at least.
 LEAST_DOCS = 3
+#: Share of a line's tokens that a template with fields at any positions leaves standing, at least.
+STANDING = 2, 3
 
 
 def tokens_of(line: Column) -> Column:
@@ -38,11 +40,53 @@ def template_keys(line: Column) -> Column:
     return let(tokens_of(line), keys)
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def leaf_of(line: Column) -> Column:
+    """The leaf a line comes to: its token count and LEAD leading tokens; null if it has no others."""
+    return let(tokens_of(line), lambda t: F.when(F.size(t) > LEAD, F.xxhash64(F.size(t), F.slice(t, 1, LEAD))))
+
+
+def field_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(doc_id, hash, pos, first_id): lines under a template with fields at any positions, in least_docs documents or more.
+
+    For each place of a leaf it is counted how many documents have a token there. A line
+    falls under one template for each such number c that its tokens have: tokens with c or
+    more stand, all others are fields, as long as STANDING of the tokens stand. The constant
+    tokens of a template have at least as many documents as the template itself, so all its
+    lines share the one template whose c is the least of theirs, in whatever order they come.
+    Only lines of leaves that least_docs documents share are looked at.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = F.split(text, "\n", -1)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.transform(split, leaf_of).alias("leaves"))
+    leaves = common.staged(rows, "leaves")
+    shared = leaves.select(F.explode(F.array_distinct("leaves")).alias("leaf")).filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs).select("leaf")
+    places = leaves.select("doc_id", "hash", F.posexplode("leaves").alias("pos", "leaf")).join(shared, "leaf")
+    # repeated rows have the same places: each counts as a document
+    hits = places.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(F.collect_set("pos").alias("places"), F.count(F.lit(1)).alias("n"))
+    own = docs.select("doc_id", F.xxhash64(text).alias("hash"), split.alias("split"))
+    met = own.join(hits, own["doc_id"].eqNullSafe(hits["d"]) & (own["hash"] == hits["h"]))
+    placed = lambda p: let(tokens_of(F.col("split")[p]), lambda t: F.struct(p.alias("pos"), F.transform(t, lambda w, i: F.xxhash64(F.size(t), F.slice(t, 1, LEAD), i, w)).alias("tokens")))
+    lines = common.staged(met.select("doc_id", "hash", (F.col("n") / F.size("places")).cast("long").alias("copies"), F.transform("places", placed).alias("lines")), "field-lines")
+
+    held = lines.select(F.explode(F.array_distinct(F.flatten("lines.tokens"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
+    each = lines.select("doc_id", "hash", "copies", F.explode("lines").alias("line")).select("doc_id", "hash", "copies", "line.pos", F.size("line.tokens").alias("size"), F.explode("line.tokens").alias("token"))
+    # a token's hash tells its leaf and place, so a line has each once
+    standing = each.join(held, "token").groupBy("doc_id", "hash", "pos").agg(F.max("copies").alias("copies"), F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("token", "n"))).alias("tokens"))
+    levels = F.array_distinct(F.transform("tokens", lambda x: x["n"]))
+    template = F.transform(levels, lambda c: F.transform(F.filter("tokens", lambda x: x["n"] >= c), lambda x: x["token"]))
+    fits = F.filter(template, lambda t: (F.size(t) * STANDING[1] >= F.col("size") * STANDING[0]) & (F.size(t) < F.col("size")))
+    keyed = common.staged(standing.select("doc_id", "hash", "pos", "copies", F.explode(F.transform(fits, lambda t: F.xxhash64(t))).alias("key")), "field-keys")
+    once = keyed.groupBy("key", "doc_id", "hash").agg(F.max("copies").alias("copies"))
+    recurring = once.groupBy("key").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first_id")).filter(F.col("n") >= least_docs)
+    return keyed.join(recurring, "key").select("doc_id", "hash", "pos", "first_id")
+
+
+def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False) -> DataFrame:
     """(doc_id, hash, dropped): places of the lines to drop, for documents that have any.
 
     A template recurs when lines of least_docs documents or more fall under it. Its lines
-    stay in the document of the smallest doc_id and are dropped from all others.
+    stay in the document of the smallest doc_id and are dropped from all others. With fields
+    the templates of field_lines count too.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.transform(F.split(text, "\n", -1), template_keys).alias("keys"))
@@ -50,14 +94,17 @@ def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     counts = keyed.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
     recurring = counts.filter(F.col("n") >= least_docs).select("key", "first_id")
     lines = keyed.select("doc_id", "hash", F.posexplode("keys").alias("pos", "line")).select("doc_id", "hash", "pos", F.explode("line").alias("key"))
-    met = lines.join(recurring, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    met = lines.join(recurring, "key").select("doc_id", "hash", "pos", "first_id")
+    if fields:
+        met = met.union(field_lines(docs, least_docs))
+    met = met.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     return met.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def _marked(docs: DataFrame, least_docs: int) -> DataFrame:
+def _marked(docs: DataFrame, least_docs: int, fields: bool = False) -> DataFrame:
     """(row, kept, n_lines, n_dropped): each row of docs as a struct, and its text without recurring lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = recurring_lines(docs, least_docs).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "dropped")
+    found = recurring_lines(docs, least_docs, fields).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "dropped")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.xxhash64(text).alias("hash"))
     joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
@@ -82,9 +129,9 @@ def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return _marked(docs, least_docs).select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in own), "n_lines", "n_dropped")
 
 
-def without_emptied(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """docs without recurring lines, and without the rows that lost all their words; the columns of docs."""
-    left = _marked(docs, least_docs).filter((F.col("n_dropped") == 0) | F.col("kept").rlike(WORD))
+def without_emptied(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False) -> DataFrame:
+    """docs without recurring lines (with fields, those of field_lines too), and without the rows that lost all their words; the columns of docs."""
+    left = _marked(docs, least_docs, fields).filter((F.col("n_dropped") == 0) | F.col("kept").rlike(WORD))
     return left.select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 

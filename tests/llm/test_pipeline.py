@@ -60,3 +60,18 @@ def test_mixing_stage_goes_on_behind_a_long_document(spark):
     for r in corpus_pipeline.mixing_weights(spark, df, "").select("source", "text").collect():
         taken[r["source"]] += len(r["text"].split())
     assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
+
+
+def test_line_dedup_stage_finds_fields_anywhere(spark):
+    """Word-valued fields in several quarters of a line, and in short lines; values may recur."""
+    names, towns = ("ann", "bob", "cy", "dan", "eve"), ("rome", "oslo", "bonn", "lima", "kyiv")
+    rows = []
+    for i in range(25):
+        name, town = names[i % 5], towns[i // 5]
+        rows.append((i, f"the user named {name} has asked for a new password reset from {town} today\nPosted in category {town} by {name}\n{chr(97 + i)} line that no other has", "en"))
+    rows.append((None, rows[0][1].replace("\na line", "\nnull line"), "en"))
+    rows += [(100 + i, f"we went home {a} {b} {c} {chr(97 + i)} {chr(107 + i)}", "en") for i, (a, b, c) in enumerate(zip(names, towns, names[1:]))]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert len(got) == 30 and got[0] == rows[0][1]
+    assert all(got[i] == f"{chr(97 + i)} line that no other has" for i in range(1, 25)) and got[None].startswith("null")
+    assert all(got[100 + i] == rows[26 + i][1] for i in range(4))  # three equal tokens of eight are no template
