@@ -22,8 +22,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies its smallest doc_id stays."""
-    return minhash.keep_one(docs)
+    """Of each group of near copies its smallest doc_id stays; then whole lines that two of the rest share go.
+
+    Not before: near copies would come here without the lines they share, and what is left
+    of them would stay.
+    """
+    kept = common.staged(minhash.keep_one(docs), "kept-one")
+    return line_templates.without_emptied(kept, whole_docs=line_templates.STAGE_WHOLE_DOCS)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from tallyforge.llm.common import GAP, WORD, let
 LEAD, STRETCHES = 3, 4
 #: Shorter lines have no open stretch: too little of them would remain.
 LEAST_OPEN = 8
-#: Documents that a template recurs in, at least.
-LEAST_DOCS = 3
+#: Documents that a template recurs in, at least; and in the pipeline's stage that of a whole line, which no chance makes.
+LEAST_DOCS, STAGE_WHOLE_DOCS = 3, 2
 #: Share of a line's tokens that a template with fields at any positions leaves standing, at least.
 STANDING = 2, 3
 
@@ -81,30 +81,33 @@ def field_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return keyed.join(recurring, "key").select("doc_id", "hash", "pos", "first_id")
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False, whole_docs: int | None = None) -> DataFrame:
     """(doc_id, hash, dropped): places of the lines to drop, for documents that have any.
 
-    A template recurs when lines of least_docs documents or more fall under it. Its lines
-    stay in the document of the smallest doc_id and are dropped from all others. With fields
+    A template recurs when lines of least_docs documents or more fall under it, one of all
+    tokens when those of whole_docs (None: least_docs) do. Its lines stay in the document of
+    the smallest doc_id and are dropped from all others. With fields
     the templates of field_lines count too.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.transform(F.split(text, "\n", -1), template_keys).alias("keys"))
     keyed = common.staged(own, "template-keys")
     counts = keyed.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-    recurring = counts.filter(F.col("n") >= least_docs).select("key", "first_id")
-    lines = keyed.select("doc_id", "hash", F.posexplode("keys").alias("pos", "line")).select("doc_id", "hash", "pos", F.explode("line").alias("key"))
-    met = lines.join(recurring, "key").select("doc_id", "hash", "pos", "first_id")
+    whole_docs = least_docs if whole_docs is None else whole_docs
+    recurring = counts.filter(F.col("n") >= min(least_docs, whole_docs)).select("key", "first_id", "n")
+    lines = keyed.select("doc_id", "hash", F.posexplode("keys").alias("pos", "line")).select("doc_id", "hash", "pos", F.posexplode("line").alias("kind", "key"))
+    # a line's first key is the one of all its tokens
+    met = lines.join(recurring, "key").filter(F.col("n") >= F.when(F.col("kind") == 0, whole_docs).otherwise(least_docs)).select("doc_id", "hash", "pos", "first_id")
     if fields:
         met = met.union(field_lines(docs, least_docs))
     met = met.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     return met.groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def _marked(docs: DataFrame, least_docs: int, fields: bool = False) -> DataFrame:
+def _marked(docs: DataFrame, least_docs: int, fields: bool = False, whole_docs: int | None = None) -> DataFrame:
     """(row, kept, n_lines, n_dropped): each row of docs as a struct, and its text without recurring lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = recurring_lines(docs, least_docs, fields).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "dropped")
+    found = recurring_lines(docs, least_docs, fields, whole_docs).select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "dropped")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.xxhash64(text).alias("hash"))
     joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     lines = F.split(F.col("row.text").cast("string"), "\n", -1)
@@ -129,9 +132,9 @@ def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return _marked(docs, least_docs).select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in own), "n_lines", "n_dropped")
 
 
-def without_emptied(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False) -> DataFrame:
-    """docs without recurring lines (with fields, those of field_lines too), and without the rows that lost all their words; the columns of docs."""
-    left = _marked(docs, least_docs, fields).filter((F.col("n_dropped") == 0) | F.col("kept").rlike(WORD))
+def without_emptied(docs: DataFrame, least_docs: int = LEAST_DOCS, fields: bool = False, whole_docs: int | None = None) -> DataFrame:
+    """docs without recurring lines (as recurring_lines finds them), and without the rows that lost all their words; the columns of docs."""
+    left = _marked(docs, least_docs, fields, whole_docs).filter((F.col("n_dropped") == 0) | F.col("kept").rlike(WORD))
     return left.select(*((F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 

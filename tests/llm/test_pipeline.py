@@ -75,3 +75,14 @@ def test_line_dedup_stage_finds_fields_anywhere(spark):
     assert len(got) == 30 and got[0] == rows[0][1]
     assert all(got[i] == f"{chr(97 + i)} line that no other has" for i in range(1, 25)) and got[None].startswith("null")
     assert all(got[100 + i] == rows[26 + i][1] for i in range(4))  # three equal tokens of eight are no template
+
+
+def test_lines_of_two_documents_go_but_not_before_near_copies(spark):
+    words = lambda k: " ".join(f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    passage = words("p")
+    rows = [(1, f"{words('x')}\n{passage}"), (2, f"{passage}\n{words('y')}"), (3, f"{words('x')}\n{passage} edited"), (4, words("z"))]
+    now = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        now = common.staged(stage(spark, now, ""), "stage")
+    # 3 is a near copy of 1 and goes whole; 2 only shares a passage with 1
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == {1: rows[0][1], 2: words("y"), 4: rows[3][1]}
