@@ -37,9 +37,9 @@ def slugify(c: Column) -> Column:
 
 
 def canonical_budget_item(c: Column) -> Column:
-    """Alias, canonical name, slug, else unchanged."""
+    """Alias in its own case, canonical name, slug, else unchanged (trimmed); blank: null."""
     t = F.trim(c)
-    return F.when(t != "", F.coalesce(vocab.by_alias(t), F.when(t.isin(*vocab.BUDGET_ITEMS), t), vocab.by_alias(F.upper(t)), vocab.by_slug(slugify(t)), t))
+    return F.when(t != "", F.coalesce(vocab.by_alias(t), F.when(t.isin(*vocab.BUDGET_ITEMS), t), vocab.by_slug(slugify(t)), t))
 
 
 def file_budget_item(name: Column) -> Column:
@@ -196,9 +196,20 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def request_id(doc: Column, source_page: Column, amounts: Column, texts: Column) -> Column:
-    """16 hex digits over the canonical JSON of a request; lists sorted."""
-    return F.substring(F.sha2(F.to_json(F.struct(doc.alias("doc"), source_page.alias("page"), F.array_sort(amounts).alias("amounts"), F.array_sort(texts).alias("texts"))), 256), 1, 16)
+def json_text(c: Column) -> Column:
+    """A string as JSON, or null."""
+    quoted = F.to_json(F.array(c.cast("string")))
+    return F.coalesce(F.when(c.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2)), F.lit("null"))
+
+
+def request_id(job: Column, sub_item: Column, doc: Column, amount: Column, row_texts: Column, table_texts: Column, amounts: Column) -> Column:
+    """16 hex digits over the JSON list of a request's parts; amount and amounts as texts, lists sorted, null lists empty."""
+    def listed(values: Column) -> Column:
+        texts = F.array_sort(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")))
+        return F.concat(F.lit("["), F.array_join(F.transform(texts, json_text), ", "), F.lit("]"))
+
+    parts = F.concat_ws(", ", json_text(job), json_text(sub_item), json_text(doc), F.coalesce(json_text(amount), F.lit('"None"')), listed(row_texts), listed(table_texts), listed(amounts))
+    return F.substring(F.sha2(F.concat(F.lit("["), parts, F.lit("]")), 256), 1, 16)
 
 
 def page_label(filename: Column, local_page: Column, page: Column) -> Column:
