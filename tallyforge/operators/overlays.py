@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tallyforge.functions import text, vocab
 
@@ -22,8 +23,19 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def with_hashes(pages: DataFrame) -> DataFrame:
-    """K3: pages with the hash of their text and of their canonical entities."""
-    return pages.withColumns({"text_sha256": text.content_hash(F.col("text")), "entities_sha256": text.content_hash(F.to_json("entities"))})
+    """K3: pages with the hash of their text and of their entities' JSON, keys sorted at every level."""
+    ordered = sorted_fields(F.col("entities"), pages.schema["entities"].dataType)
+    return pages.withColumns({"text_sha256": text.content_hash(F.col("text")), "entities_sha256": text.content_hash(F.to_json(ordered))})
+
+
+def sorted_fields(c: Column, kind: DataType) -> Column:
+    """c with the fields of its structs in the order of their names, so that equal content has equal JSON."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(sorted_fields(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    return c
 
 
 def stale(current: DataFrame, stored: DataFrame, key: list[str], hash_column: str) -> DataFrame:
@@ -52,15 +64,20 @@ def toggled(log: DataFrame) -> DataFrame:
 def edit_pages(candidates: DataFrame, log: DataFrame) -> DataFrame:
     """candidates(row_id, idx, pages, score) under a log(row_id, idx, op, page, seq) of adds and removes.
 
-    The last edit of a page decides. A candidate without pages left goes; where none is left
-    and pages were added to none, a manual candidate with a null score stands.
+    The last edit of a page decides. A candidate without pages left goes. Pages added to an
+    idx that has no candidate make a manual one, with a null score.
     """
     last = latest(log, ["row_id", "idx", "page"], "seq")
+    known = candidates.select("row_id", "idx")
+    # pages added to a candidate that isn't there
+    loose = last.filter("op = 'add'").join(known, ["row_id", "idx"], "left_anti").groupBy("row_id", "idx").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    last = last.join(known, ["row_id", "idx"], "left_semi")
     edits = last.groupBy("row_id", "idx").agg(F.collect_set(F.when(F.col("op") == "add", F.col("page"))).alias("added"), F.collect_set(F.when(F.col("op") == "remove", F.col("page"))).alias("removed"))
-    met = candidates.join(edits, ["row_id", "idx"], "full")
+    met = candidates.join(edits, ["row_id", "idx"], "left")
     none = F.array().cast("array<int>")
     pages = F.array_sort(F.array_union(F.array_except(F.coalesce("pages", none), F.coalesce("removed", none)), F.coalesce("added", none)))
-    return met.select("row_id", "idx", pages.alias("pages"), "score").filter(F.size("pages") > 0)
+    left = met.select("row_id", "idx", pages.alias("pages"), "score").filter(F.size("pages") > 0)
+    return left.unionByName(loose.select("row_id", "idx", "pages", F.lit(None).cast("double").alias("score")))
 
 
 def edited_candidates(candidates: DataFrame, edits: DataFrame) -> DataFrame:

@@ -156,17 +156,22 @@ def report_rows(items: DataFrame, sub_items: DataFrame, done: DataFrame, refs: D
 REPORT_HEADER = "Row,Budget Item,Label,Amount,Employee,Payment Status,Payment Evidence,Invoice Status,Invoice Evidence"
 
 
-def navigation(items: DataFrame) -> DataFrame:
-    """(group_id, label, budget_item, employee_key, row_ids): by budget item, and by employee for employee items."""
+def navigation(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, group_id, label, budget_item, employee_key, row_ids): by budget item, and by employee for employee items, within keys."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row_id"))), lambda x: x["row_id"]).alias("row_ids")
-    by_item = items.groupBy("budget_item").agg(ids).select(text.slugify(F.col("budget_item")).alias("group_id"), F.col("budget_item").alias("label"), "budget_item", F.lit(None).cast("string").alias("employee_key"), "row_ids")
+    by_item = items.groupBy(*keys, "budget_item").agg(ids).select(*keys, text.slugify(F.col("budget_item")).alias("group_id"), F.col("budget_item").alias("label"), "budget_item", F.lit(None).cast("string").alias("employee_key"), "row_ids")
     key = text.employee_slug(F.col("first_name"), F.col("last_name"))
     named = items.filter(vocab.is_employee_item(F.col("budget_item"))).withColumn("employee_key", key).filter("employee_key <> ''")
     label = F.min_by(F.concat_ws(" ", "first_name", "last_name"), "row_index").alias("name")
-    by_employee = named.groupBy("budget_item", "employee_key").agg(ids, label).select(F.concat_ws("__", text.slugify(F.col("budget_item")), "employee_key").alias("group_id"), F.concat_ws(" - ", "budget_item", "name").alias("label"), "budget_item", "employee_key", "row_ids")
+    by_employee = named.groupBy(*keys, "budget_item", "employee_key").agg(ids, label).select(*keys, F.concat_ws("__", text.slugify(F.col("budget_item")), "employee_key").alias("group_id"), F.concat_ws(" - ", "budget_item", "name").alias("label"), "budget_item", "employee_key", "row_ids")
     return by_item.unionByName(by_employee)
 
 
+def navigation_order(groups: DataFrame) -> DataFrame:
+    """Groups in the order of their ids."""
+    return groups.orderBy("group_id")
+
+
 def invalid_pages(selected: DataFrame, documents: DataFrame) -> DataFrame:
     """(row_id, doc_id, page, page_count): selected pages outside 1..page_count; an unknown document has none."""
     asked = selected.select("row_id", "doc_id", F.explode("pages").alias("page"))

@@ -1,6 +1,7 @@
 """Table cells: row texts, budget items of rows, where an amount stands.
 
-cells: doc, page, table_id, seq (scan order), row_index, col_index, row_span, col_span, text.
+cells: doc, page, table_id, table_index (the table's place on its page), seq (scan order in the
+table), row_index, col_index, row_span, col_span, text.
 """
 
 from __future__ import annotations
@@ -47,19 +48,19 @@ def row_budgets(cells: DataFrame) -> DataFrame:
 def associate(amounts: DataFrame, cells: DataFrame) -> DataFrame:
     """amounts(doc, page, pos, raw) with budget_item, source and table_row_index.
 
-    The first cell in scan order that is the amount's text, or contains it in one line and one
+    The first cell in scan order (tables by their place on the page) that is the amount's text, or contains it in one line and one
     row, is its place; only without one, the first cell that has it in one of several lines (the
     line gives the row) or spans rows. A row without a budget item is Other. An amount
     without a place has the document as its budget item.
     """
-    cell = cells.select("doc", "page", "table_id", "seq", "row_index", "row_span", F.col("text").alias("cell_text"))
+    cell = cells.select("doc", "page", "table_id", "table_index", "seq", "row_index", "row_span", F.col("text").alias("cell_text"))
     hit = amounts.select("doc", "page", "pos", "raw").join(cell, ["doc", "page"]).filter(F.contains("cell_text", F.col("raw")))
     bare = F.trim("cell_text")
     lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(x))
     line = F.array_position(F.transform(lines, lambda x: F.contains(x, F.col("raw"))), F.lit(True)) - 1
     direct = (bare == F.col("raw")) | (~F.contains(bare, F.lit("\n")) & (F.col("row_span") <= 1))
     place = F.when(direct | ~F.contains(bare, F.lit("\n")), F.col("row_index")).when(line >= 0, F.col("row_index") + line)
-    best = hit.withColumn("row", place.cast("int")).filter("row IS NOT NULL").groupBy("doc", "page", "pos").agg(F.min(F.struct(F.when(direct, 0).otherwise(1).alias("class"), "table_id", "seq", "row")).alias("b"))
+    best = hit.withColumn("row", place.cast("int")).filter("row IS NOT NULL").groupBy("doc", "page", "pos").agg(F.min(F.struct(F.when(direct, 0).otherwise(1).alias("class"), "table_index", "seq", "table_id", "row")).alias("b"))
     budgets = row_budgets(cells).select("doc", "page", "table_id", F.col("row_index").alias("row"), "budget_item")
     located = best.select("doc", "page", "pos", "b.table_id", "b.row").join(budgets, ["doc", "page", "table_id", "row"], "left")
     out = amounts.drop("budget_item").join(located, ["doc", "page", "pos"], "left")
@@ -100,10 +101,11 @@ def row_words(cells: DataFrame, budget_item: Column, slug: Column) -> DataFrame:
 
 
 def resolve_blocks(blocks: DataFrame) -> DataFrame:
-    """(doc, page, table_id, seq, row_index, col_index, row_span, col_span, text) of a block graph.
+    """(doc, page, table_id, table_index, seq, row_index, col_index, row_span, col_span, text) of a block graph.
 
-    blocks: doc, page, id, type, row_index, col_index, row_span, col_span, text, child_ids. TABLE lists
-    CELLs, CELL lists WORDs; words keep the order of the list.
+    blocks: doc, page, ord (place in the list), id, type, row_index, col_index, row_span, col_span,
+    text, child_ids. TABLE lists CELLs, CELL lists WORDs; words keep the order of the list, tables
+    that of the blocks.
     """
     def children(kind: str, name: str) -> DataFrame:
         return blocks.filter(F.col("type") == kind).select("doc", "page", F.col("id").alias(name), F.posexplode("child_ids").alias("seq", "child"))
@@ -111,5 +113,7 @@ def resolve_blocks(blocks: DataFrame) -> DataFrame:
     cell = blocks.filter("type = 'CELL'").select("doc", "page", F.col("id").alias("child"), "row_index", "col_index", "row_span", "col_span")
     word = blocks.filter("type = 'WORD'").select("doc", "page", F.col("id").alias("child"), "text")
     texts = children("CELL", "cell").join(word, ["doc", "page", "child"]).groupBy("doc", "page", F.col("cell").alias("child")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
-    own = children("TABLE", "table_id").join(cell, ["doc", "page", "child"]).join(texts, ["doc", "page", "child"], "left")
-    return own.select("doc", "page", "table_id", "seq", "row_index", "col_index", F.coalesce("row_span", F.lit(1)).alias("row_span"), F.coalesce("col_span", F.lit(1)).alias("col_span"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("doc", "page").orderBy("ord")) - 1
+    tables = blocks.filter("type = 'TABLE'").select("doc", "page", F.col("id").alias("table_id"), place.alias("table_index"))
+    own = children("TABLE", "table_id").join(tables, ["doc", "page", "table_id"]).join(cell, ["doc", "page", "child"]).join(texts, ["doc", "page", "child"], "left")
+    return own.select("doc", "page", "table_id", "table_index", "seq", "row_index", "col_index", F.coalesce("row_span", F.lit(1)).alias("row_span"), F.coalesce("col_span", F.lit(1)).alias("col_span"), F.coalesce("text", F.lit("")).alias("text"))
