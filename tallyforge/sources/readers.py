@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -39,37 +41,45 @@ class EngineConfig:
     min_auto_select_score: float = 0.5
 
 
-def header_line(spark: SparkSession, path: str, look: int = 21) -> int:
-    """The line that holds the header: 0, or the first of the next that says 'Budget Item' (Q32)."""
-    lines = [r[0].lstrip("﻿") for r in spark.read.text(path).limit(look).collect()]
-    if lines and "budget_item" in [text.column_name(c.strip('"')) for c in lines[0].split(",")]:
-        return 0
-    return next((i for i, x in enumerate(lines) if "Budget Item" in x), 0)
+def header_of(spark: SparkSession, path: str, look: int = 21) -> list[str]:
+    """The header's cells: of the first line, or of the first of the next that says 'Budget Item' (Q32)."""
+    lines = [r[0].lstrip("\ufeff") for r in spark.read.text(path).limit(look).collect()]
+    parsed = lambda line: next(csv.reader([line]), [])
+    if not lines or "budget_item" in [text.column_name(c) for c in parsed(lines[0])]:
+        return parsed(lines[0]) if lines else []
+    return parsed(next((x for x in lines if "Budget Item" in x), lines[0]))
 
 
-def read_invoice(spark: SparkSession, path: str, skip: int | None = None) -> DataFrame:
+def read_invoice(spark: SparkSession, path: str) -> DataFrame:
     """Line items of an invoice CSV.
 
     Names are normalized, missing columns null, unknown ones kept in raw. row_index is the
-    row's place in the file. A preamble of a few lines is found and skipped.
+    row's place in the file. A preamble of a few lines is found and skipped. The JVM reader
+    parses the file whole, by the header's width, so quoted line breaks and quotes stay what
+    they are; rows up to the header are left out by their place. No header: no items.
     """
-    skip = header_line(spark, path) if skip is None else skip
-    if skip:
-        numbered = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-        frame = spark.read.option("header", True).csv(numbered.filter(lambda x: x[1] >= skip).map(lambda x: x[0]))
-    else:
-        frame = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    frame = frame.toDF(*(text.column_name(c.lstrip("﻿")) for c in frame.columns))
-    return line_items(frame)
-
-
-def line_items(frame: DataFrame) -> DataFrame:
-    """Line items of a frame of strings with normalized column names."""
+    header = header_of(spark, path)
+    cells = [f"c{i}" for i in range(max(1, len(header)))]
+    frame = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    placed = frame.withColumn("at", F.monotonically_increasing_id())
+    own = F.lit(bool(header))
+    for c, h in zip(cells, header):
+        own = own & F.regexp_replace(F.col(c), "^\ufeff", "").eqNullSafe(F.lit(h if h != "" else None))
+    begin = placed.filter(own).agg(F.min("at").alias("begin"))
+    names = [text.column_name(h) or c for h, c in zip(header, cells)]
+    rows = placed.join(F.broadcast(begin), F.col("at") > F.col("begin")).select("at", *(F.col(c).alias(n) for c, n in zip(cells, names)))
+    return line_items(rows, "at")
+
+
+def line_items(frame: DataFrame, at: str) -> DataFrame:
+    """Line items of a frame of strings with normalized column names, in the order of the column at."""
     from pyspark.sql import Window
 
-    own = {c: (F.col(c) if c in frame.columns else F.lit(None).cast("string")) for c in INVOICE_COLUMNS}
-    raw = F.create_map(*(x for c in frame.columns for x in (F.lit(c), F.col(c).cast("string"))))
-    base = frame.select(F.monotonically_increasing_id().alias("at"), *(text.safe_string(own[c]).alias(c) for c in INVOICE_COLUMNS if c not in ("amount", "hourly_rate")), text.currency(own["amount"]).alias("amount"), text.currency(own["hourly_rate"]).alias("hourly_rate"), raw.alias("raw"))
+    columns = [c for c in frame.columns if c != at]
+    own = {c: (F.col(c) if c in columns else F.lit(None).cast("string")) for c in INVOICE_COLUMNS}
+    pairs = [x for c in dict.fromkeys(columns) for x in (F.lit(c), F.col(c).cast("string"))]
+    raw = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    base = frame.select(F.col(at).alias("at"), *(text.safe_string(own[c]).alias(c) for c in INVOICE_COLUMNS if c not in ("amount", "hourly_rate")), text.currency(own["amount"]).alias("amount"), text.currency(own["hourly_rate"]).alias("hourly_rate"), raw.alias("raw"))
     # an invoice is one small file; its rows are numbered in file order
     placed = base.withColumn("row_index", F.row_number().over(Window.orderBy("at")) - 1).withColumn("budget_item", text.canonical_budget_item(F.col("budget_item")))
     fields = (F.lit(""), F.col("budget_item"), F.col("employee_first_name"), F.col("employee_last_name"), F.col("amount"), F.col("explanation"))
@@ -79,24 +89,40 @@ def line_items(frame: DataFrame) -> DataFrame:
 def discovered(paths: DataFrame) -> DataFrame:
     """(budget_item, doc_id, path) of paths(path), relative to the upload folder.
 
-    Files in a budget item's folder come first; flat files count for budget items without a
-    folder. Names that match nothing are dropped.
+    Only files that end in .pdf, in lower case, and stand in the folder itself or in a folder
+    directly below count. Files in a budget item's folder come first; flat files count for
+    budget items without a folder. Names that match nothing are dropped. In the order of
+    discovered_order() they come as a listing has them.
     """
-    pdf = paths.filter(F.lower("path").endswith(".pdf"))
+    pdf = paths.filter(F.col("path").endswith(".pdf"))
     parts = F.split("path", "/")
-    in_folder = pdf.filter(F.size(parts) > 1).select(vocab.by_slug(text.slugify(F.get(parts, F.lit(0)))).alias("budget_item"), "path").filter("budget_item IS NOT NULL")
+    in_folder = pdf.filter(F.size(parts) == 2).select(vocab.by_slug(text.slugify(F.regexp_replace(F.get(parts, F.lit(0)), r"\.[^.]*$", ""))).alias("budget_item"), "path").filter("budget_item IS NOT NULL")
     flat = pdf.filter(F.size(parts) == 1).select(text.file_budget_item(F.col("path")).alias("budget_item"), "path").filter("budget_item IS NOT NULL")
     slug = text.slugify(F.col("budget_item"))
-    name = text.slugify(F.regexp_replace(F.element_at(parts, -1), r"(?i)\.pdf$", ""))
+    name = text.slugify(F.regexp_replace(F.element_at(parts, -1), r"\.pdf$", ""))
     foldered = in_folder.select("budget_item", F.concat(slug, F.lit("__"), name).alias("doc_id"), "path")
     rest = flat.join(in_folder.select("budget_item").distinct(), "budget_item", "left_anti").select("budget_item", slug.alias("doc_id"), "path")
     return foldered.unionByName(rest)
 
 
+def discovered_order(found: DataFrame) -> DataFrame:
+    """Foldered files first, by folder and name, then flat ones by name."""
+    return found.orderBy(~F.contains("path", F.lit("/")), "path")
+
+
 def list_keys(spark: SparkSession, folder: str, suffix: str = "*.pdf") -> DataFrame:
-    """Paths of the files under folder whose name fits; contents aren't read."""
+    """(path, key, length) of the files under folder whose name fits; key is relative to folder; contents aren't read. Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(folder)
-    return found.select("path", "length")
+    bare = re.sub(r"^[a-z0-9]+:/+", "/", folder).rstrip("/") + "/"
+    # the listing's paths carry a scheme, and escapes for what a URI can't hold
+    key = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    return found.select("path", F.substring(key, F.instr(key, bare) + len(bare), F.length(key)).alias("key"), "length")
+
+
+def discovered_in(spark: SparkSession, folder: str) -> DataFrame:
+    """discovered() over the files under folder, with their full paths as `uri`."""
+    keys = list_keys(spark, folder)
+    return discovered(keys.select(F.col("key").alias("path"))).join(keys.select(F.col("key").alias("path"), F.col("path").alias("uri")), "path").select("budget_item", "doc_id", "path", "uri")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +135,25 @@ def read_line_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINE_ITEM).json(path)
 
 
-def stored_pages(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """Stored pages of a document, in order; the filter prunes the doc_id partitions."""
+def stored_pages(spark: SparkSession, path: str, doc_id: str | None = None, page_number: int | None = None) -> DataFrame:
+    """Stored pages in order, of one document, or one page of it; the document's bucket prunes the folders read."""
     pages = spark.read.parquet(path)
-    return (pages if doc_id is None else pages.filter(F.col("doc_id") == doc_id)).orderBy("doc_id", "page_number")
+    if doc_id is not None:
+        pages = pages.filter((F.col("bucket") == bucket_of(F.lit(doc_id))) & (F.col("doc_id") == doc_id))
+    if page_number is not None:
+        pages = pages.filter(F.col("page_number") == page_number)
+    return pages.drop("bucket").orderBy("doc_id", "page_number")
+
+
+def bucket_of(doc_id: Column, buckets: int = 256) -> Column:
+    """The folder of a document in a page store: a hash, so that folders don't grow with documents."""
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def items_by_key(items: DataFrame, pk: str, prefix: str = "") -> DataFrame:
+    """Cache items(pk, sk, ...) of a partition key whose sort key begins with prefix, by sort key as a number where it is one."""
+    number = F.regexp_replace("sk", "^#+", "").try_cast("long")
+    return items.filter((F.col("pk") == pk) & F.startswith("sk", F.lit(prefix))).orderBy(number, "sk")
 
 
 def read_jobs(jobs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -155,6 +196,39 @@ def extracted(pages: DataFrame, extractor: Extractor, schema: str = PAGE) -> Dat
     return pages.mapInPandas(run, schema)
 
 
+def ocr_pages(blocks: DataFrame, most: int = EngineConfig.ocr_max_lines) -> DataFrame:
+    """(doc, page, text, words) of OCR blocks(doc, page, ord, type, text, bbox).
+
+    The first `most` LINE blocks that aren't blank make the text, all WORD blocks that aren't the
+    word boxes; both in the order of the blocks, trimmed. A missing coordinate is 0.
+    """
+    own = blocks.filter(F.col("type").isin("LINE", "WORD")).withColumn("text", F.trim("text")).filter("text <> ''")
+    zero = lambda c: F.coalesce(F.col("bbox")[c], F.lit(0.0)).alias(c)
+    box = F.struct("ord", F.struct("text", *(zero(c) for c in ("left", "top", "width", "height"))).alias("box"))
+    line = F.struct("ord", "text")
+    of = lambda kind, x: F.array_sort(F.collect_list(F.when(F.col("type") == kind, x)), lambda a, b: (a["ord"] - b["ord"]).cast("int"))
+    grouped = own.groupBy("doc", "page").agg(of("LINE", line).alias("lines"), of("WORD", box).alias("boxes"))
+    return grouped.select("doc", "page", ocr_text(F.transform("lines", lambda x: x["text"]), most).alias("text"), F.transform("boxes", lambda x: x["box"]).alias("words"))
+
+
+def scaled_words(words: Column, width: Column, height: Column) -> Column:
+    """Word boxes of array<struct<x0,y0,x1,y1,text>> in points, divided by the media box; blank words go."""
+    def one(w: Column) -> Column:
+        return F.struct(w["text"].alias("text"), (w["x0"] / width).alias("left"), (w["y0"] / height).alias("top"), ((w["x1"] - w["x0"]) / width).alias("width"), ((w["y1"] - w["y0"]) / height).alias("height"))
+
+    return F.transform(F.filter(words, lambda w: F.trim(w["text"]) != ""), one)
+
+
+def embedded_cells(tables: DataFrame) -> DataFrame:
+    """cells(doc, page, table_id, table_index, seq, row_index, col_index, row_span, col_span, text) of tables(doc, page, table_id, table_index, rows).
+
+    rows: array<array<string>>; indices from 1; a null cell is an empty one.
+    """
+    rows = tables.select("doc", "page", "table_id", "table_index", F.posexplode("rows").alias("r", "cells"))
+    each = rows.select("doc", "page", "table_id", "table_index", "r", F.size("cells").alias("n"), F.posexplode("cells").alias("c", "text"))
+    return each.select("doc", "page", "table_id", "table_index", (F.col("r") * 10_000 + F.col("c")).alias("seq"), (F.col("r") + 1).alias("row_index"), (F.col("c") + 1).alias("col_index"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def text_sufficient(c: Column, least: int = EngineConfig.text_min_chars) -> Column:
     """F3."""
     return F.length(F.trim(F.coalesce(c, F.lit("")))) >= least
