@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import geometry, text, vocab
 from tallyforge.operators import amounts, candidates, overlays, review, scoring, subitems, tables
+from tallyforge.plans.registry import query
 from tallyforge.plans.views import view, with_views
 from tallyforge.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def joined(c: str) -> str:
     return f"array_to_string({c}, ',')"
@@ -38,11 +24,21 @@ def _page(spark: SparkSession, d: str) -> DataFrame:
     """Pages with entities: the brand as organisation, amounts, a person for every second page."""
     pages = view(spark, d, "page_texts")
     vals = view(spark, d, "page_amounts").groupBy("doc", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.struct(x["value"].alias("value"))).alias("amounts"))
-    first = F.element_at(F.array(F.lit("John"), F.lit("Margaret"), F.lit("John"), F.lit("Anna"), F.lit("Lily"), F.lit("J")), (F.col("doc") % 6 + 1).cast("int"))
-    last = F.element_at(F.array(F.lit("Doe"), F.lit("Smith"), F.lit("Garcia-Lopez"), F.lit("Müller")), ((F.col("doc") + F.col("page")) % 4 + 1).cast("int"))
-    one = F.struct(F.concat_ws(" ", first, last).alias("full_name"), first.alias("first_name"), last.alias("last_name"))
-    people = F.when(F.col("page") % 2 == 1, F.array(one)).otherwise(F.slice(F.array(one), 1, 0))
-    return pages.join(vals, ["doc", "page"]).select("doc", "page", "text", "orderkey", F.struct("doc_type", people.alias("people"), F.array("brand").alias("organizations"), "amounts").alias("entities"))
+    people = view(spark, d, "page_people")
+    one = F.struct(F.concat_ws(" ", "first_name", "last_name").alias("full_name"), "first_name", "last_name")
+    named = F.when(F.col("first_name").isNotNull(), F.array(one)).otherwise(F.slice(F.array(one), 1, 0))
+    return pages.join(vals, ["doc", "page"]).join(people, ["doc", "page"]).select("doc", "page", "text", "orderkey", F.struct("doc_type", named.alias("people"), F.array("brand").alias("organizations"), "amounts").alias("entities"))
+
+
+def _items_of_run(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "items")
+
+
+def _pages_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """_page() with whole amounts, as a run reads them."""
+    rows = view(spark, d, "page_amounts").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "budget_item"))).alias("xs"))
+    whole = rows.select("doc", "page", F.transform("xs", lambda x: F.struct(x["value"].alias("value"), x["budget_item"].alias("budget_item"), F.lit("").alias("raw"), F.lit("").alias("context"))).alias("own"))
+    return _page(spark, d).join(whole, ["doc", "page"]).withColumn("entities", F.col("entities").withField("amounts", F.col("own"))).drop("own")
 
 
 # amounts
@@ -119,13 +115,13 @@ def virtual_page_resolve(spark, d):
 
 CLUSTER = """live AS (SELECT *, CASE WHEN page - lag(page) OVER w <= 1 THEN 0 ELSE 1 END AS fresh FROM scores WHERE score > 0 WINDOW w AS (PARTITION BY row_id, doc ORDER BY page)),
     isl AS (SELECT *, sum(fresh) OVER (PARTITION BY row_id, doc ORDER BY page) AS island FROM live),
-    runs AS (SELECT row_id, doc, island, list(page ORDER BY page) AS pages, avg(score) AS score FROM isl GROUP BY row_id, doc, island HAVING count(*) > 1),
+    runs AS (SELECT row_id, doc, island, list(page ORDER BY page) AS pages, round(avg(score), 10) AS score FROM isl GROUP BY row_id, doc, island HAVING count(*) > 1),
     cl AS (SELECT * FROM (SELECT row_id, doc, row_number() OVER (PARTITION BY row_id, doc ORDER BY island) AS nth, pages, score FROM runs) WHERE nth <= 3)"""
 NEAR = """ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, page) AS r, count(*) OVER (PARTITION BY row_id) AS n FROM scores),
     top AS (SELECT * FROM ranked WHERE r <= 5 AND score > 0),
     spread AS (SELECT DISTINCT row_id, doc, q FROM (SELECT row_id, doc, n, unnest([page - 1, page, page + 1]) AS q, page FROM top) WHERE q = page OR (q >= 1 AND (q < page OR page < n))),
-    nb AS (SELECT s.row_id, s.doc, list(q ORDER BY q) AS pages, any_value(m) * 0.9 AS score FROM spread s JOIN (SELECT row_id, avg(score) AS m FROM top GROUP BY row_id) USING (row_id) GROUP BY s.row_id, s.doc)"""
-STRONG = "st AS (SELECT row_id, doc, list(page ORDER BY score DESC, page) AS pages, avg(score) AS score FROM scores WHERE score >= 0.75 GROUP BY row_id, doc)"
+    nb AS (SELECT s.row_id, s.doc, list(q ORDER BY q) AS pages, round(any_value(m) * 0.9, 10) AS score FROM spread s JOIN (SELECT row_id, round(avg(score), 10) AS m FROM top GROUP BY row_id) USING (row_id) GROUP BY s.row_id, s.doc)"""
+STRONG = "st AS (SELECT row_id, doc, list(page ORDER BY score DESC, page) AS pages, round(avg(score), 10) AS score FROM scores WHERE score >= 0.75 GROUP BY row_id, doc)"
 _S = with_views("scores")
 
 
@@ -168,39 +164,96 @@ def default_selection(spark, d):
     return found.select("row_id", "doc_id", _list("pages").alias("pages"))
 
 
-@query(None)
-def candidate_pipeline(spark, d):
-    made = candidates.generate(view(spark, d, "items"), _page(spark, d), view(spark, d, "page_amounts"))
-    return made.select("row_id", "doc", "ordinal", _list("pages").alias("pages"), F.round("score", 6).alias("score"), "strategy", "rank")
-
-
 # page scores
 
 _TYPES = "CASE budget_item " + " ".join(f"WHEN '{b}' THEN {list(t)!r}" for b, t in vocab.EXPECTED_TYPES.items()) + f" ELSE {list(vocab.DEFAULT_TYPES)!r} END"
 _NORM = "trim(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')))"
+_BY_NAME = "(budget_item IN ('Salary', 'Fringe') AND coalesce(last_name, '') <> '')"
 
 
-@query(
-    with_views("items", "page_texts")
-    + f""", a AS (SELECT row_id, doc, explanation, list_slice(list_filter(string_split({_NORM.format('explanation')}, ' '), lambda t: len(t) >= 3), 1, 20) AS tokens, {_NORM.format('explanation')} AS plain, {_TYPES} AS types FROM items
-        WHERE amount IS NOT NULL AND amount <> 0 AND NOT (budget_item IN ('Salary', 'Fringe') AND last_name IS NOT NULL)),
-    m AS (SELECT a.*, page, doc_type, brand, len(list_filter(tokens, lambda t: contains(lower(text), t))) AS hits FROM a JOIN page_texts USING (doc))
-    SELECT row_id, doc, page, round(CASE WHEN explanation = '' THEN 0 ELSE least(hits * 0.05, 0.40) + CASE WHEN brand IS NOT NULL AND contains(plain, {_NORM.format('brand')}) THEN 0.15 ELSE 0 END + CASE WHEN list_contains(types, doc_type) THEN 0.10 ELSE 0 END END, 6)::DOUBLE AS score FROM m"""
-)
+def kw_sql(items: str, texts: str) -> str:
+    """CTEs that end in kw(row_id, doc, page, score) of M2."""
+    return f"""ka AS (SELECT row_id, doc, coalesce(explanation, '') AS explanation, list_slice(list_filter(string_split({_NORM.format('explanation')}, ' '), lambda t: len(t) >= 3), 1, 20) AS tokens, {_NORM.format('explanation')} AS plain, {_TYPES} AS types FROM {items}),
+    km AS (SELECT ka.*, page, doc_type, brand, len(list_filter(tokens, lambda t: contains(lower(text), t))) AS hits FROM ka JOIN {texts} USING (doc)),
+    kw AS (SELECT row_id, doc, page, CASE WHEN explanation = '' THEN 0e0 ELSE least(hits * 0.05e0, 0.40e0) + CASE WHEN brand IS NOT NULL AND contains(plain, {_NORM.format('brand')}) THEN 0.15e0 ELSE 0e0 END + CASE WHEN list_contains(types, doc_type) THEN 0.10e0 ELSE 0e0 END END AS score FROM km)"""
+
+
+@query(with_views("items", "page_texts") + f", ki AS (SELECT * FROM items WHERE amount IS NOT NULL AND amount <> 0 AND NOT {_BY_NAME}), {kw_sql('ki', 'page_texts')} SELECT row_id, doc, page, round(score, 6) AS score FROM kw")
 def keyword_score(spark, d):
     items = view(spark, d, "items")
     by_name = vocab.is_employee_item(F.col("budget_item")) & F.col("last_name").isNotNull()
     return scoring.keyword_scores(amounts.payable(items).filter(~by_name), _page(spark, d)).select("row_id", "doc", "page", F.round("score", 6).alias("score"))
 
 
-@query(None)
+_LCS = """list_reduce(list_filter(string_split(a, ''), lambda c: c <> ''), lambda prev, ch: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc,
+    CASE WHEN substr(b, j, 1) = ch THEN (CASE WHEN j > 1 THEN prev[j - 1] ELSE 0 END) + 1 ELSE greatest(prev[j], CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END) END), []::BIGINT[]), list_transform(range(len(b)), lambda x: 0::BIGINT))[-1]"""
+_PROX = """CASE WHEN dv < 0.02 THEN CASE WHEN dh < 0.15 THEN 1.0 WHEN dh < 0.30 THEN 0.7 ELSE 0.3 END WHEN dv < 0.04 THEN CASE WHEN dh < 0.30 THEN 0.6 ELSE 0.4 END
+    WHEN dv < 0.10 THEN CASE WHEN dh < 0.30 THEN 0.4 ELSE 0.2 END ELSE 0.0 END"""
+_VARIANTS = """CASE WHEN coalesce(first_name, '') = '' THEN [] WHEN NOT regexp_matches(first_name, '\\([^)]+\\)') THEN [trim(first_name)]
+    ELSE list_filter([trim(regexp_replace(first_name, '\\s*\\([^)]+\\)\\s*', ' ', 'g')), trim(regexp_extract(first_name, '\\(([^)]+)\\)', 1))], lambda x: x <> '') END"""
+_SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda x: x <> '')), ' ')"
+
+
+def emp_sql(items: str) -> str:
+    """CTEs that end in px(row_id, doc, page, proximity) of J5 and emp(row_id, doc, page, score, rationale) of M1; a box is a single word's."""
+    return f"""ei AS (SELECT row_id, doc, amount, {_NORM.format('last_name')} AS last, list_filter(list_transform({_VARIANTS}, lambda x: {_NORM.format('x')}), lambda x: x <> '') AS variants FROM {items}),
+    pp AS (SELECT doc, page, {_NORM.format('first_name')} AS pf, {_NORM.format('last_name')} AS pl, {_NORM.format("(first_name || ' ' || last_name)")} AS pn FROM page_people WHERE first_name IS NOT NULL),
+    ev AS (SELECT row_id, doc, last, unnest(variants) AS v FROM ei),
+    nm AS (SELECT DISTINCT v, last, pf, pn FROM ev JOIN pp USING (doc) WHERE pl = last),
+    r1 AS (SELECT *, 200.0::DOUBLE * {_LCS} / (len(a) + len(b)) AS r FROM (SELECT DISTINCT v, pf, v AS a, pf AS b FROM nm)),
+    r2 AS (SELECT *, 200.0::DOUBLE * {_LCS} / (len(a) + len(b)) AS r FROM (SELECT DISTINCT v, last, pn, {_SORTED.format("(v || ' ' || last)")} AS a, {_SORTED.format('pn')} AS b FROM nm)),
+    fs AS (SELECT ev.row_id, ev.doc, page, max(CASE WHEN ev.v = pp.pf THEN 0.30e0 WHEN least(len(ev.v), len(pp.pf)) * 3 >= greatest(len(ev.v), len(pp.pf)) * 2 AND r1.r >= 80 THEN 0.20e0 WHEN left(ev.v, 1) = left(pp.pf, 1) THEN 0.15e0 ELSE 0e0 END) AS first, bool_or(r2.r >= 90) AS near
+        FROM ev JOIN pp ON pp.doc = ev.doc AND pp.pl = ev.last JOIN r1 ON r1.v = ev.v AND r1.pf = pp.pf JOIN r2 ON r2.v = ev.v AND r2.last = ev.last AND r2.pn = pp.pn GROUP BY ev.row_id, ev.doc, page),
+    pw AS MATERIALIZED (SELECT doc, page, pos, {_NORM.format('text')} AS w, "left", top, ("left" + width) - "left" AS width FROM page_words),
+    fb AS MATERIALIZED (SELECT row_id, ev.doc, page, "left", top, width FROM ev JOIN pw ON pw.doc = ev.doc AND w = v),
+    lb AS MATERIALIZED (SELECT row_id, ei.doc, page, "left", top, width FROM ei JOIN pw ON pw.doc = ei.doc AND w = last WHERE last <> '' AND len(variants) > 0),
+    px AS (SELECT row_id, doc, page, max({_PROX})::DOUBLE AS proximity FROM (SELECT fb.row_id, fb.doc, fb.page, abs(fb.top - lb.top) AS dv, abs((fb."left" + fb.width / 2) - (lb."left" + lb.width / 2)) AS dh FROM fb JOIN lb USING (row_id, doc, page)) GROUP BY row_id, doc, page),
+    pd AS (SELECT DISTINCT row_id, doc, page FROM ei JOIN page_amounts p USING (doc) WHERE ei.amount <> 0 AND abs(p.value - ei.amount) < 0.01),
+    em AS (SELECT ei.row_id, ei.doc, t.page, ei.amount, last, t.doc_type, coalesce(pl = last, false) AS matched, coalesce(fs.first, 0e0) AS first, CASE WHEN coalesce(fs.near, false) AND fs.first > 0 AND pn <> '' THEN 1 ELSE 0 END AS "full", proximity, pd.row_id IS NOT NULL AND coalesce(pl = last, false) AS paid, t.doc_type IN ('timecard', 'paystub') AS typed
+        FROM ei JOIN page_texts t USING (doc) LEFT JOIN pp ON pp.doc = ei.doc AND pp.page = t.page LEFT JOIN fs ON fs.row_id = ei.row_id AND fs.page = t.page LEFT JOIN px ON px.row_id = ei.row_id AND px.page = t.page LEFT JOIN pd ON pd.row_id = ei.row_id AND pd.page = t.page),
+    en AS (SELECT *, CASE WHEN NOT matched OR proximity IS NULL THEN 0e0 WHEN proximity >= 0.7 THEN 0.25e0 WHEN proximity >= 0.4 THEN 0.10e0 WHEN proximity >= 0.2 THEN 0e0 ELSE -0.20e0 END AS near FROM em),
+    es AS (SELECT *, CASE WHEN last = '' THEN 0e0 ELSE least(1e0, CASE WHEN matched THEN 0.35e0 ELSE 0e0 END + "full" * 0.10e0 + first + near + CASE WHEN paid THEN 0.40e0 ELSE 0e0 END + CASE WHEN typed THEN 0.10e0 ELSE 0e0 END) END AS score FROM en),
+    emp AS (SELECT row_id, doc, page, score, CASE WHEN score = 0 AND NOT matched AND last <> '' THEN 'No matching person' ELSE concat_ws('; ', CASE WHEN last = '' THEN 'No last name' END, CASE WHEN matched THEN 'Last name: ' || last END, CASE WHEN "full" > 0 THEN 'Full name close: ' || "full" END,
+        CASE WHEN first >= 0.30 THEN 'First name' WHEN first >= 0.20 THEN 'First name close' WHEN first > 0 THEN 'First initial' END, CASE WHEN near <> 0 THEN 'Name proximity: ' || proximity::VARCHAR END, CASE WHEN paid THEN printf('Amount: $%.2f', amount) END, CASE WHEN typed THEN 'Document type: ' || doc_type END) END AS rationale FROM es)"""
+
+
+_EMP = with_views("items", "page_texts", "page_amounts", "page_people", "page_words")
+
+
+@query(f"{_EMP}, es0 AS (SELECT * FROM items WHERE budget_item IN ('Salary', 'Fringe')), {emp_sql('es0')} SELECT row_id, doc, page, round(score, 6) AS score, rationale FROM emp")
 def employee_score(spark, d):
     items = view(spark, d, "items").filter(vocab.is_employee_item(F.col("budget_item")))
-    return scoring.employee_scores(items, _page(spark, d)).select("row_id", "doc", "page", F.round("score", 6).alias("score"), F.array_join("rationale", "; ").alias("rationale"))
+    return scoring.employee_scores(items, _page(spark, d), view(spark, d, "page_words")).select("row_id", "doc", "page", F.round("score", 6).alias("score"), F.array_join("rationale", "; ").alias("rationale"))
+
+
+@query(f"{_EMP}, es0 AS (SELECT * FROM items WHERE budget_item IN ('Salary', 'Fringe')), {emp_sql('es0')} SELECT row_id, doc, page, proximity, CASE WHEN proximity >= 0.7 THEN 0.25e0 WHEN proximity >= 0.4 THEN 0.10e0 WHEN proximity >= 0.2 THEN 0e0 ELSE -0.20e0 END AS modifier FROM px")
+def name_proximity(spark, d):
+    items = view(spark, d, "items").filter(vocab.is_employee_item(F.col("budget_item")))
+    variants = F.filter(F.transform(text.first_name_variants(F.col("first_name")), text.normalize_name), lambda v: v != "")
+    names = items.select("row_id", "doc", variants.alias("variants"), text.normalize_name(F.col("last_name")).alias("last")).filter(F.size("variants") > 0)
+    return scoring.name_proximity(view(spark, d, "page_words"), names).withColumn("modifier", geometry.proximity_modifier(F.col("proximity")))
+
+
+def made_sql(items: str, values: str, largest: str) -> str:
+    """CTEs that end in m14(row_id, doc, ordinal, pages, score, strategy, rank) of the items' amounts and the CTE scores."""
+    own = ", ".join((EXACT, COMPONENT, BEST, CROSS)).replace("items i", f"{items} i").replace("page_amounts", values).replace("JOIN largest", f"JOIN {largest}")
+    return f"""{own}, {CLUSTER}, {NEAR}, {STRONG},
+    am AS (SELECT row_id, doc, [page] AS pages, score, strategy FROM best UNION ALL SELECT row_id, doc, pages, 0.80e0, 'cross-page' FROM crossed),
+    made AS (SELECT row_id, doc, 10 AS o, pages, score, strategy FROM am UNION ALL SELECT row_id, doc, 20, pages, score, 'strong' FROM st UNION ALL SELECT row_id, doc, 30, pages, score, 'neighbors' FROM nb UNION ALL SELECT row_id, doc, 40 + nth, pages, score, 'cluster' FROM cl),
+    uniq AS (SELECT *, row_number() OVER (PARTITION BY row_id, list_sort(pages) ORDER BY o) AS n FROM made),
+    m14 AS (SELECT row_id, doc, o::INT AS ordinal, pages, score, strategy, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, o) AS rank FROM uniq WHERE n = 1) WHERE rank <= 5)"""
+
+
+_M14 = f"""{with_views("items", "page_texts", "page_amounts", "page_people", "page_words", "largest")}, live0 AS (SELECT * FROM items WHERE amount IS NOT NULL AND amount <> 0), named0 AS (SELECT * FROM live0 WHERE {_BY_NAME}), other0 AS (SELECT * FROM live0 WHERE NOT {_BY_NAME}),
+    {emp_sql('named0')}, {kw_sql('other0', 'page_texts')}, scores AS (SELECT row_id, doc, page, score FROM emp UNION ALL SELECT row_id, doc, page, score FROM kw), {made_sql('other0', 'page_amounts', 'largest')}"""
+
+
+@query(f"{_M14} SELECT row_id, doc, ordinal, {joined('pages')} AS pages, round(score, 6) AS score, strategy, rank FROM m14")
+def candidate_pipeline(spark, d):
+    made = candidates.generate(view(spark, d, "items"), _page(spark, d), view(spark, d, "page_amounts"), view(spark, d, "page_words"))
+    return made.select("row_id", "doc", "ordinal", _list("pages").alias("pages"), F.round("score", 6).alias("score"), "strategy", "rank")
 
 
-_LCS = """list_reduce(list_filter(string_split(a, ''), lambda c: c <> ''), lambda prev, ch: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc,
-    CASE WHEN substr(b, j, 1) = ch THEN (CASE WHEN j > 1 THEN prev[j - 1] ELSE 0 END) + 1 ELSE greatest(prev[j], CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END) END), []::BIGINT[]), list_transform(range(len(b)), lambda x: 0::BIGINT))[-1]"""
 _RATIO = f"round(200.0::DOUBLE * {_LCS} / (len(a) + len(b)), 6) AS ratio"
 
 
@@ -219,23 +272,22 @@ def token_sort_ratio(spark, d):
 
 @query(
     with_views("words")
-    + """, p AS (SELECT DISTINCT doc, first_value(text) OVER w AS t1, nth_value(text, 2) OVER w AS t2 FROM words WHERE pos IN (0, 1) WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-    n AS (SELECT doc, pos, "left", top, trim(lower(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'))) AS w FROM words),
-    t AS (SELECT doc, t1 || ' ' || t2 AS term, trim(lower(regexp_replace(t1, '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'))) AS a, trim(lower(regexp_replace(t2, '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'))) AS b FROM p WHERE t2 IS NOT NULL)
-    SELECT t.doc, term, x.pos, round(least(x."left", y."left"), 6) AS "left", round(least(x.top, y.top), 6) AS top FROM t JOIN n x ON x.doc = t.doc AND x.w = a JOIN n y ON y.doc = t.doc AND y.w = b AND y.pos = x.pos + 1 WHERE a <> '' AND b <> ''"""
+    + f""", n AS (SELECT doc, pos, text, "left", top, {_NORM.format('text')} AS w FROM words),
+    q AS (SELECT *, lead(text) OVER o AS t2, lead(w) OVER o AS w2, lead(text, 2) OVER o AS t3, lead(w, 2) OVER o AS w3, lead("left") OVER o AS l2, lead(top) OVER o AS u2, lead("left", 2) OVER o AS l3, lead(top, 2) OVER o AS u3 FROM n WINDOW o AS (PARTITION BY doc ORDER BY pos)),
+    t AS (SELECT doc, text || ' ' || t2 AS term, 2 AS k, w AS a, w2 AS b, '' AS c FROM q WHERE pos = 0 AND w <> '' AND w2 <> '' UNION SELECT doc, text, 1, w, '', '' FROM q WHERE pos = 7 AND w <> '' UNION SELECT doc, concat_ws(' ', text, t2, t3), 3, w, w2, w3 FROM q WHERE pos = 11 AND w <> '' AND w2 <> '' AND w3 <> '')
+    SELECT t.doc, term, q.pos, round(CASE k WHEN 1 THEN "left" WHEN 2 THEN least("left", l2) ELSE least("left", l2, l3) END, 6) AS "left", round(CASE k WHEN 1 THEN top WHEN 2 THEN least(top, u2) ELSE least(top, u2, u3) END, 6) AS top
+    FROM t JOIN q ON q.doc = t.doc AND q.w = a AND (k < 2 OR q.w2 = b) AND (k < 3 OR q.w3 = c)"""
 )
 def phrase_boxes(spark, d):
     words = view(spark, d, "words")
-    both = words.filter("pos < 2").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x")).filter(F.size("x") == 2)
-    ok = both.filter((text.normalize_name(F.col("x")[0]["text"]) != "") & (text.normalize_name(F.col("x")[1]["text"]) != ""))
-    terms = ok.select("doc", F.concat_ws(" ", F.col("x")[0]["text"], F.col("x")[1]["text"]).alias("term"))
+    at = lambda k: F.get("x", F.lit(k))
+    first = words.filter("pos < 14").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("x"))
+    sound = lambda *ks: F.array_min(F.array(*(F.coalesce(text.normalize_name(at(k)) != "", F.lit(False)) for k in ks)))
+    named = F.array(*(F.when(sound(*ks) & at(ks[-1]).isNotNull(), F.concat_ws(" ", *(at(k) for k in ks))) for ks in ((0, 1), (7,), (11, 12, 13))))
+    terms = first.select("doc", F.explode(F.array_compact(named)).alias("term")).distinct()
     return scoring.phrase_boxes(words, terms).select("doc", "term", "pos", F.round("left", 6).alias("left"), F.round("top", 6).alias("top"))
 
 
-_PROX = """CASE WHEN dv < 0.02 THEN CASE WHEN dh < 0.15 THEN 1.0 WHEN dh < 0.30 THEN 0.7 ELSE 0.3 END WHEN dv < 0.04 THEN CASE WHEN dh < 0.30 THEN 0.6 ELSE 0.4 END
-    WHEN dv < 0.10 THEN CASE WHEN dh < 0.30 THEN 0.4 ELSE 0.2 END ELSE 0.0 END"""
-
-
 @query(
     with_views("words")
     + f""", w AS (SELECT doc, "left", top, width, trim(lower(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g'))) AS w FROM words),
@@ -275,7 +327,7 @@ def name_normalize(spark, d):
 
 
 _SPELLINGS = ("SALARY_TOTAL", "salary", " Fringe ", "fringe_total", "Travel", "INDIRECT", "space rental/occupancy costs", "Telecom", "Mystery Item", "Contractual-Service", "")
-_CANON = {"SALARY_TOTAL": "Salary", "salary": "Salary", " Fringe ": "Fringe", "fringe_total": "Fringe", "Travel": "Travel and Conferences", "INDIRECT": "Indirect Costs", "space rental/occupancy costs": "Space Rental/Occupancy Costs", "Telecom": "Telecommunications", "Mystery Item": "Mystery Item", "Contractual-Service": "Contractual Service"}
+_CANON = {"SALARY_TOTAL": "Salary", "salary": "Salary", " Fringe ": "Fringe", "fringe_total": "fringe_total", "Travel": "Travel", "INDIRECT": "Indirect Costs", "space rental/occupancy costs": "Space Rental/Occupancy Costs", "Telecom": "Telecom", "Mystery Item": "Mystery Item", "Contractual-Service": "Contractual Service"}
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 11 " + " ".join(f"WHEN {i} THEN {chr(39) + _CANON[s] + chr(39) if s in _CANON else 'NULL'}" for i, s in enumerate(_SPELLINGS)) + " END AS budget_item FROM supplier")
@@ -346,23 +398,23 @@ _BUDGET = (
 _RB = f"rb AS (SELECT *, {_BUDGET} AS budget_item FROM (SELECT *, {_TT('row_text')} AS r FROM rt))"
 
 
-@query(f"{_C}, {_ROWS}, {_RB} SELECT doc, page, row_index, row_text, budget_item FROM rb")
+@query(f"{_C}, {_ROWS}, {_RB} SELECT doc, page, table_id, row_index, row_text, budget_item FROM rb")
 def table_row_budget(spark, d):
-    return tables.row_budgets(view(spark, d, "cells")).select("doc", "page", "row_index", "row_text", "budget_item")
+    return tables.row_budgets(view(spark, d, "cells")).select("doc", "page", "table_id", "row_index", "row_text", "budget_item")
 
 
-@query(f"{_C} SELECT doc, page, max(row_index + row_span - 1) AS row_count, max(col_index + col_span - 1) AS col_count FROM cells GROUP BY doc, page")
+@query(f"{_C} SELECT doc, page, table_id, max(row_index + row_span - 1) AS row_count, max(col_index + col_span - 1) AS col_count FROM cells GROUP BY doc, page, table_id")
 def table_dimensions(spark, d):
-    return tables.dimensions(view(spark, d, "cells")).select("doc", "page", "row_count", "col_count")
+    return tables.dimensions(view(spark, d, "cells")).select("doc", "page", "table_id", "row_count", "col_count")
 
 
 @query(
     with_views("cells", "page_amounts")
     + f""", {_ROWS}, {_RB}, am AS (SELECT doc, page, pos, CAST(value AS VARCHAR) AS raw FROM page_amounts),
-    hit AS (SELECT am.*, table_id, seq, trim(text) = raw OR (NOT contains(trim(text), chr(10)) AND row_span <= 1) AS direct,
+    hit AS (SELECT am.*, table_id, table_index, seq, trim(text) = raw OR (NOT contains(trim(text), chr(10)) AND row_span <= 1) AS direct,
         row_index + CASE WHEN trim(text) <> raw AND contains(trim(text), chr(10)) THEN list_position(list_transform(string_split(trim(text), chr(10)), lambda x: contains(x, raw)), true) - 1 ELSE 0 END AS "row"
         FROM am JOIN cells c ON am.doc = c.doc AND am.page = c.page AND contains(text, raw)),
-    f AS (SELECT doc, page, pos, table_id, "row" FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, pos ORDER BY CASE WHEN direct THEN 0 ELSE 1 END, table_id, seq) AS n FROM hit) WHERE n = 1)
+    f AS (SELECT doc, page, pos, table_id, "row" FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, pos ORDER BY CASE WHEN direct THEN 0 ELSE 1 END, table_index, seq) AS n FROM hit) WHERE n = 1)
     SELECT am.doc, am.page, am.pos, am.raw, CASE WHEN f."row" IS NOT NULL THEN coalesce(rb.budget_item, 'Other') ELSE am.doc::VARCHAR END AS budget_item, CASE WHEN f."row" IS NOT NULL THEN 'table_row' ELSE 'page_default' END AS source, f."row"::INT AS table_row_index
     FROM am LEFT JOIN f USING (doc, page, pos) LEFT JOIN rb ON rb.doc = f.doc AND rb.page = f.page AND rb.table_id = f.table_id AND rb.row_index = f."row" """
 )
@@ -374,15 +426,16 @@ def amount_association(spark, d):
 # sub-items
 
 _DP = with_views("doc_pages")
-_TOK = "tk AS (SELECT DISTINCT doc, unnest(list_transform(regexp_extract_all(regexp_replace(string_split(text, chr(10))[1], '[&\\-]', '', 'g'), '[a-zA-Z][a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM doc_pages WHERE page = 1)"
+_TOK = "tk AS (SELECT DISTINCT doc, unnest(list_transform(regexp_extract_all(regexp_replace(string_split(text, chr(10))[1], '[&\\-]', '', 'g'), '[a-zA-Z][a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM doc_pages)"
 _DF = """tot AS (SELECT doc, count(DISTINCT page) AS total FROM doc_pages GROUP BY doc),
-    held AS (SELECT tk.doc, token, page FROM tk JOIN doc_pages p ON tk.doc = p.doc AND (contains(lower(text), token) OR (regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]') AND regexp_matches(lower(text), regexp_replace(regexp_replace(token, '([a-z])([0-9])', '\\1\\s*\\2', 'g'), '([0-9])([a-z])', '\\1\\s*\\2', 'g'))))),
+    held AS (SELECT tk.doc, token, page FROM tk JOIN doc_pages p ON tk.doc = p.doc AND (contains(lower(text), token) OR (regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]') AND regexp_matches(lower(text), regexp_replace(regexp_replace(token, '([a-z])([0-9])', '\\1\\\\s*\\2', 'g'), '([0-9])([a-z])', '\\1\\\\s*\\2', 'g'))))),
     df AS (SELECT tk.doc, tk.token, count(DISTINCT page) AS pages, any_value(total) AS total FROM tk JOIN tot USING (doc) LEFT JOIN held USING (doc, token) GROUP BY tk.doc, tk.token)"""
 
 
 def _tokens(spark, d):
-    first = view(spark, d, "doc_pages").filter("page = 1")
-    return first.select("doc", F.explode(F.array_distinct(text.text_words(F.get(F.split("text", "\n"), F.lit(0))))).alias("token"))
+    """A document's row texts: the titles (first lines) of all its pages."""
+    titles = view(spark, d, "doc_pages")
+    return titles.select("doc", F.explode(text.text_words(F.get(F.split("text", "\n"), F.lit(0)))).alias("token")).distinct()
 
 
 @query(f"{_DP}, {_TOK}, {_DF} SELECT doc, token, pages, total FROM df WHERE total <= 2 OR pages / total < 0.5")
@@ -399,12 +452,12 @@ def specific_tokens(spark, d):
 _WS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))"
 
 
-@query(f"""{_DP}, s AS (SELECT doc, page, {_WS} AS w FROM doc_pages), o AS (SELECT doc, w AS own FROM s WHERE page = 1)
-    SELECT doc, page, round(len(list_intersect(own, w)) / (len(own) + len(w) - len(list_intersect(own, w))), 6) AS similarity FROM o JOIN s USING (doc) WHERE len(w) > 0 AND len(own) > 0 AND len(list_intersect(own, w)) / (len(own) + len(w) - len(list_intersect(own, w))) >= 0.85""")
+@query(f"""{_DP}, s AS (SELECT doc, page, {_WS} AS w FROM doc_pages), o AS (SELECT doc, page AS source_page, w AS own FROM s)
+    SELECT doc, source_page, page, round(len(list_intersect(own, w)) / (len(own) + len(w) - len(list_intersect(own, w))), 6) AS similarity FROM o JOIN s USING (doc) WHERE len(w) > 0 AND len(own) > 0 AND len(list_intersect(own, w)) / (len(own) + len(w) - len(list_intersect(own, w))) >= 0.85""")
 def jaccard_duplicates(spark, d):
     pages = view(spark, d, "doc_pages")
-    sources = pages.filter("page = 1").select(F.col("doc").alias("row_id"), "doc", F.col("page").alias("source_page"))
-    return subitems.near_duplicate_pages(sources, pages).select("doc", "page", F.round("similarity", 6).alias("similarity"))
+    sources = pages.select(F.col("page").alias("row_id"), "doc", F.col("page").alias("source_page"))
+    return subitems.near_duplicate_pages(sources, pages).select("doc", F.col("row_id").alias("source_page"), "page", F.round("similarity", 6).alias("similarity"))
 
 
 _FT = "ft AS (SELECT doc, token FROM (SELECT *, total > 2 AND pages / total < 0.1 AS specific FROM df WHERE total <= 2 OR pages / total < 0.5) di QUALIFY specific OR NOT bool_or(specific) OVER (PARTITION BY doc))"
@@ -421,7 +474,31 @@ def row_text_filter(spark, d):
     return subitems.filter_by_row_texts(cands, _tokens(spark, d), pages).select("row_id", _list("pages").alias("pages"))
 
 
-@query(None)
+_SI = f"""{with_views("items", "page_texts", "page_amounts")},
+    req AS (SELECT row_id, doc, budget_item, amount, explanation FROM items WHERE amount > 0),
+    ws AS (SELECT doc, page, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS w FROM page_texts),
+    du AS (SELECT o.doc, s.page FROM ws o JOIN ws s USING (doc) WHERE o.page = 1 AND len(s.w) > 0 AND len(o.w) > 0 AND len(list_intersect(o.w, s.w)) / (len(o.w) + len(s.w) - len(list_intersect(o.w, s.w))) >= 0.85),
+    op AS (SELECT row_id || '|' || r.doc AS scope, r.doc, t.page FROM req r JOIN page_texts t USING (doc) WHERE t.page <> 1 AND NOT EXISTS (SELECT 1 FROM du WHERE du.doc = t.doc AND du.page = t.page)),
+    sp AS (SELECT scope AS doc, op.page, text, doc_type, brand FROM op JOIN page_texts t ON t.doc = op.doc AND t.page = op.page),
+    sa AS (SELECT scope AS doc, op.page, pos, value, budget_item FROM op JOIN page_amounts a ON a.doc = op.doc AND a.page = op.page),
+    sl AS (SELECT doc, page, max(value) AS value FROM sa GROUP BY doc, page),
+    si AS (SELECT row_id || '#0' AS row_id, row_id AS parent, row_id || '|' || doc AS doc, budget_item, amount, explanation FROM req),
+    {kw_sql('si', 'sp')}, scores AS (SELECT * FROM kw), {made_sql('si', 'sa', 'sl')},
+    kept AS (SELECT si.parent AS row_id, m14.doc, rank AS ordinal, pages, score, strategy FROM m14 JOIN si USING (row_id) WHERE score >= 0.1),
+    tk AS (SELECT DISTINCT doc, unnest(list_transform(regexp_extract_all(regexp_replace(explanation, '[&\\-]', '', 'g'), '[a-zA-Z][a-zA-Z0-9]+'), lambda x: lower(x))) AS token FROM si),
+    {_DF.replace('doc_pages', 'sp')}, {_FT}, hp AS (SELECT DISTINCT held.doc, page FROM held JOIN ft USING (doc, token)),
+    ht AS (SELECT row_id, ordinal, count(*) AS hits FROM (SELECT row_id, doc, ordinal, unnest(pages) AS page FROM kept) k JOIN hp USING (doc, page) GROUP BY row_id, ordinal),
+    fl AS (SELECT kept.* FROM kept LEFT JOIN ht USING (row_id, ordinal) WHERE doc NOT IN (SELECT doc FROM ft) OR (score >= 0.90 AND len(pages) = 1 AND strategy = 'exact') OR coalesce(hits, 0) >= CASE WHEN len(pages) > 3 THEN 2 ELSE 1 END),
+    cv AS (SELECT DISTINCT row_id, unnest(pages) AS page FROM fl WHERE score >= 0.80),
+    ls AS (SELECT parent AS row_id, si.doc, sa.page FROM si JOIN sa ON sa.doc = si.doc AND abs(sa.value - si.amount) < 0.005 UNION SELECT parent, si.doc, sp.page FROM si JOIN sp ON sp.doc = si.doc AND contains(lower(sp.text), printf('%.2f', si.amount))),
+    bo AS (SELECT ls.* FROM ls JOIN hp ON hp.doc = ls.doc AND hp.page = ls.page WHERE NOT EXISTS (SELECT 1 FROM cv WHERE cv.row_id = ls.row_id AND cv.page = ls.page)),
+    fi AS (SELECT row_id, doc, (-1000000 + page)::INT AS ordinal, [page] AS pages, 0.95e0 AS score, 'combined' AS strategy FROM bo UNION ALL SELECT * FROM fl WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.row_id = fl.row_id AND list_contains(fl.pages, bo.page))),
+    fd AS (SELECT *, row_number() OVER (PARTITION BY row_id, list_sort(pages) ORDER BY score DESC, ordinal) AS n FROM fi),
+    rk AS (SELECT *, (row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ordinal))::INT AS rank FROM fd WHERE n = 1)"""
+
+
+# texts of pages hold no amounts, so the rule for whole dollars (J17) has nothing to find in them
+@query(f"{_SI} SELECT row_id, {joined('pages')} AS pages, round(score, 6) AS score, strategy, rank, rank = 1 AND score >= 0.5 AS selected FROM rk")
 def sub_item_match(spark, d):
     items = view(spark, d, "items").filter("amount > 0")
     requests = items.select("row_id", "doc", "budget_item", F.array("amount").alias("amounts"), F.array("explanation").alias("texts"), F.lit(1).alias("source_page"))
@@ -516,11 +593,14 @@ def sub_item_counts(spark, d):
 _ESC = lambda c: f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
-@query(f"""{_EV}, {_TG}, {_DONE}, lb AS (SELECT item_id, coalesce(string_agg('vp ' || page, '; ' ORDER BY page, doc_id) FILTER (field = 'payment'), '') AS pr, coalesce(string_agg('vp ' || page, '; ' ORDER BY page, doc_id) FILTER (field = 'invoice'), '') AS ir FROM ev GROUP BY item_id),
+SQL_REPORT = f"""{_EV}, {_TG}, {_DONE}, lb AS (SELECT item_id, coalesce(string_agg('vp ' || page, '; ' ORDER BY page, doc_id) FILTER (field = 'payment'), '') AS pr, coalesce(string_agg('vp ' || page, '; ' ORDER BY page, doc_id) FILTER (field = 'invoice'), '') AS ir FROM ev GROUP BY item_id),
     it AS (SELECT r.row_index, 0 AS sub, (r.row_index + 1)::VARCHAR AS number, budget_item, '' AS label, CASE WHEN amount > 0 THEN printf('%.2f', amount) ELSE '' END AS money, trim(concat_ws(' ', first_name, last_name)) AS employee, payment AS a, invoice AS b, coalesce(pr, '') AS pr, coalesce(ir, '') AS ir FROM reviewed r JOIN done USING (row_id) LEFT JOIN lb ON lb.item_id = r.row_id),
     si AS (SELECT row_index, row_number() OVER (PARTITION BY parent_row_id ORDER BY ord) AS sub, budget_item, sub_item_id AS label, CASE WHEN s.amount > 0 THEN printf('%.2f', s.amount) ELSE '' END AS money, coalesce(pr, '') AS pr, coalesce(ir, '') AS ir FROM sub_items s JOIN reviewed r ON r.row_id = parent_row_id LEFT JOIN lb ON lb.item_id = sub_item_id),
     u AS (SELECT * FROM it UNION ALL SELECT row_index, sub, (row_index + 1) || '.' || sub, budget_item, label, money, '', pr <> '', ir <> '', pr, ir FROM si)
-    SELECT row_index, sub::INT AS sub, concat_ws(',', number, {_ESC('budget_item')}, {_ESC('label')}, money, {_ESC('employee')}, CASE WHEN a THEN 'Yes' ELSE 'No' END, {_ESC('pr')}, CASE WHEN b THEN 'Yes' ELSE 'No' END, {_ESC('ir')}) AS line FROM u""")
+    SELECT row_index, sub::INT AS sub, concat_ws(',', number, {_ESC('budget_item')}, {_ESC('label')}, money, {_ESC('employee')}, CASE WHEN a THEN 'Yes' ELSE 'No' END, {_ESC('pr')}, CASE WHEN b THEN 'Yes' ELSE 'No' END, {_ESC('ir')}) AS line FROM u"""
+
+
+@query(SQL_REPORT)
 def report_rows(spark, d):
     evidence = overlays.toggled(view(spark, d, "evidence_log"))
     label = text.page_label(F.lit(None).cast("string"), F.col("page"), F.col("page"))
@@ -566,12 +646,12 @@ def search_totals(spark, d):
 
 # stored tables and overlays
 
-@query(f"""{_RV}, o AS (SELECT 'row_' || user_id AS row_id, 'd' || event_id % 7 AS doc_id, event_id % 9 AS page, event_id AS seq FROM events WHERE event_type <> 'click'),
+@query(f"""{_RV}, o AS (SELECT 'row_' || user_id AS row_id, 'd' || event_id % 7 AS doc_id, event_id % 9 AS page, event_id AS seq FROM events),
     l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY seq DESC) = 1)
     SELECT coalesce(r.row_id, l.row_id) AS row_id, CASE WHEN l.row_id IS NOT NULL THEN l.doc_id ELSE r.doc_id END AS doc_id, CASE WHEN l.row_id IS NOT NULL THEN l.page::VARCHAR ELSE r.n_pages::VARCHAR END AS pages, CASE WHEN l.row_id IS NOT NULL THEN 'user' ELSE 'auto' END AS selection_source FROM reviewed r FULL JOIN l ON r.row_id = l.row_id""")
 def latest_overrides(spark, d):
     selected = view(spark, d, "reviewed").select("row_id", "doc_id", F.array(F.col("n_pages").cast("long")).alias("pages"), F.lit("auto").alias("selection_source"))
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_type <> 'click'")
+    events = spark.read.parquet(f"{d}/events.parquet")
     log = events.select(F.concat(F.lit("row_"), F.col("user_id").cast("string")).alias("row_id"), F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string")).alias("doc_id"), F.array(F.col("event_id") % 9).alias("pages"), F.col("event_id").alias("seq"))
     return overlays.apply_overrides(selected, log).select("row_id", "doc_id", _list("pages").alias("pages"), "selection_source")
 
@@ -607,9 +687,9 @@ def upload_paths(spark, d):
     return overlays.upload_paths(files)
 
 
-@query("""WITH p AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'Salary/' || p_name || '.pdf' WHEN p_partkey % 3 = 1 THEN 'Supplies.pdf' ELSE 'salary.PDF' END AS path FROM part)
-    SELECT CASE WHEN path LIKE 'Salary/%' THEN 'Salary' ELSE 'Supplies' END AS budget_item, CASE WHEN path LIKE 'Salary/%' THEN 'salary__' || trim(regexp_replace(lower(regexp_extract(path, '/(.*)\\.pdf', 1)), '[^a-z0-9]+', '_', 'g'), '_') ELSE 'supplies' END AS doc_id, path FROM p WHERE path <> 'salary.PDF'""")
+@query("""WITH p AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'Salary/' || p_name || '.pdf' WHEN 1 THEN 'Supplies.pdf' WHEN 2 THEN 'salary.PDF' WHEN 3 THEN 'Salary/deep/' || p_name || '.pdf' ELSE 'Salary.pdf' END AS path FROM part)
+    SELECT CASE WHEN path LIKE 'Salary/%' THEN 'Salary' ELSE 'Supplies' END AS budget_item, CASE WHEN path LIKE 'Salary/%' THEN 'salary__' || trim(regexp_replace(lower(regexp_extract(path, '/(.*)\\.pdf', 1)), '[^a-z0-9]+', '_', 'g'), '_') ELSE 'supplies' END AS doc_id, path FROM p WHERE path NOT IN ('salary.PDF', 'Salary.pdf') AND path NOT LIKE 'Salary/deep/%'""")
 def pdf_discovery(spark, d):
-    k = F.col("p_partkey") % 3
-    path = F.when(k == 0, F.concat(F.lit("Salary/"), F.col("p_name"), F.lit(".pdf"))).when(k == 1, "Supplies.pdf").otherwise("salary.PDF")
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    path = F.when(k == 0, F.concat(F.lit("Salary/"), name, F.lit(".pdf"))).when(k == 1, "Supplies.pdf").when(k == 2, "salary.PDF").when(k == 3, F.concat(F.lit("Salary/deep/"), name, F.lit(".pdf"))).otherwise("Salary.pdf")
     return readers.discovered(spark.read.parquet(f"{d}/part.parquet").select(path.alias("path")).distinct())

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.functions import vocab
 
@@ -23,6 +24,8 @@ def pick(k: str, values: tuple[str, ...]) -> str:
 
 FIRST = ("John", "Maggie (Meg)", "Jon", "Ana", "Chen Li (Lily)", "José")
 LAST = ("Doe", "Smith", "Garcia-Lopez", "Müller")
+#: Names on pages: some equal the items', some are close, some share an initial.
+PAGE_FIRST = ("John", "Margaret", "John", "Anna", "Lily", "J")
 
 VIEWS = {
     "page_amounts": f"""
@@ -32,9 +35,16 @@ VIEWS = {
             l_orderkey AS orderkey, l_partkey AS partkey, CAST(l_linenumber AS INT) AS line_number
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "page_texts": f"""
-        SELECT doc, page, min(orderkey) AS orderkey, concat_ws(' ', max(CASE WHEN pos = 0 THEN p_name END), max(CASE WHEN pos = 1 THEN p_name END), max(CASE WHEN pos = 2 THEN p_name END), max(CASE WHEN pos = 3 THEN p_name END)) AS text,
+        SELECT doc, page, min(orderkey) AS orderkey, string_agg(p_name, ' ' ORDER BY pos) AS text,
             {pick('min(orderkey)', vocab.DOC_TYPES)} AS doc_type, max(CASE WHEN pos = 0 THEN p_brand END) AS brand
         FROM page_amounts JOIN part ON partkey = p_partkey GROUP BY doc, page""",
+    "page_people": f"""
+        SELECT doc, page, CASE WHEN page % 2 = 1 THEN {pick('doc', PAGE_FIRST)} END AS first_name, CASE WHEN page % 2 = 1 THEN {pick('(doc + page * 3 - 3)', LAST)} END AS last_name FROM page_texts""",
+    "page_word_texts": """
+        SELECT t.doc, t.page, concat_ws(' ', CASE WHEN t.page % 5 < 3 THEN first_name END, CASE WHEN t.page % 5 = 0 THEN last_name END, t.text, CASE WHEN t.page % 5 > 0 THEN last_name END) AS text
+        FROM page_texts t JOIN page_people p ON p.doc = t.doc AND p.page = t.page""",
+    "page_words": """
+        SELECT doc, page, CAST(pos AS INT) AS pos, word AS text, CAST(pos % 10 AS DOUBLE) / 10 AS "left", floor(CAST(pos AS DOUBLE) / 10) * 0.015e0 AS top, 0.08e0 AS width, 0.012e0 AS height FROM split_page_words""",
     "largest": "SELECT doc, page, max(value) AS value FROM page_amounts GROUP BY doc, page",
     "items": f"""
         SELECT concat('row_', CAST(o_orderkey AS VARCHAR(20))) AS row_id, o_orderkey AS row_index, o_custkey AS doc, {budget('o_custkey')} AS budget_item,
@@ -58,22 +68,35 @@ VIEWS = {
     "evidence_log": """
         SELECT event_id AS seq, concat('row_', CAST(user_id * 3 % 997 AS VARCHAR(20))) AS item_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'payment' ELSE 'invoice' END AS field,
             CAST(event_id % 4 + 1 AS INT) AS page, concat('d', CAST(user_id % 5 AS VARCHAR(20))) AS doc_id FROM events""",
-    "sub_items": "SELECT concat('row_', CAST(l_orderkey AS VARCHAR(20)), '_', CAST(l_linenumber AS VARCHAR(20))) AS sub_item_id, concat('row_', CAST(l_orderkey AS VARCHAR(20))) AS parent_row_id, CAST(l_linenumber AS INT) AS ord, min(floor(l_extendedprice * 10) / 100) AS amount FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber",
+    # the lines of two neighbouring orders are sub-items of the even one, so that odd ones have none
+    "sub_items": "SELECT concat('row_', CAST(l_orderkey AS VARCHAR(20)), '_', CAST(l_linenumber AS VARCHAR(20))) AS sub_item_id, concat('row_', CAST(l_orderkey + l_orderkey % 2 AS VARCHAR(20))) AS parent_row_id, CAST(l_orderkey % 2 * 100 + l_linenumber AS INT) AS ord, min(floor(l_extendedprice * 10) / 100) AS amount FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "words": """
         SELECT doc_id AS doc, 1 AS page, CAST(pos AS INT) AS pos, word AS text, CAST(pos % 10 AS DOUBLE) / 10 AS "left", floor(CAST(pos AS DOUBLE) / 10) * 0.015e0 AS top, 0.08e0 AS width, 0.012e0 AS height FROM split_words""",
     "cells": f"""
-        SELECT doc, page, 't1' AS table_id, CAST(pos * 2 + k AS INT) AS seq, CAST(pos AS INT) AS row_index, CAST(k AS INT) AS col_index, CASE WHEN k = 1 AND pos % 5 = 4 THEN 2 ELSE 1 END AS row_span, 1 AS col_span,
-            CASE WHEN k = 0 THEN concat({budget('partkey')}, CASE WHEN partkey % 4 = 0 THEN ' total' WHEN partkey % 4 = 1 THEN ' Costs, other' ELSE '' END) WHEN pos % 3 = 2 THEN concat('1.00{chr(10)}', CAST(value AS VARCHAR(20))) ELSE CAST(value AS VARCHAR(20)) END AS text
-        FROM page_amounts CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks WHERE doc % 3 = 0""",
+        SELECT doc, page, concat('t', CAST(9 + CAST(floor(pos / 2) AS INT) AS VARCHAR(20))) AS table_id, CAST(floor(pos / 2) AS INT) AS table_index, CAST(pos * 2 + k AS INT) AS seq, CAST(pos AS INT) AS row_index, CAST(k AS INT) AS col_index, CASE WHEN k = 1 AND pos % 5 = 4 THEN 2 ELSE 1 END AS row_span, 1 AS col_span,
+            CASE WHEN k = 0 THEN concat({budget('partkey')}, CASE WHEN partkey % 4 = 0 THEN ' total' WHEN partkey % 4 = 1 THEN ' Costs, other' ELSE '' END) WHEN partkey % 7 = 3 THEN 'see note' WHEN pos % 3 = 2 THEN concat('1.00{chr(10)}', CAST(value AS VARCHAR(20))) ELSE CAST(value AS VARCHAR(20)) END AS text
+        FROM page_amounts CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks""",
 }
 _NEEDS = {name: [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", sql)] for name, sql in VIEWS.items()}
 
 
+#: Tables of words: the table their texts come from, its key, and what stands between words.
+SPLITS = {"split_words": ("documents", "doc_id", "[ \\n]+"), "split_page_words": ("page_word_texts", "doc, page", "[ \\n]+")}
+for _name, _sql in VIEWS.items():
+    _NEEDS[_name] += [t for s, (t, _, _) in SPLITS.items() if re.search(rf"\b{s}\b", _sql) and t in VIEWS]
+
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def free() -> None:
+    """Lets go of the views that the last query kept."""
+    for kept in _kept.values():
+        kept.unpersist()
+    _kept.clear()
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view on Spark, over the tables of sf_dir; kept within a session, as most queries share a few."""
+    """A view on Spark, over the tables of sf_dir; kept for the query that reads it, which may do so many times."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
         _kept[key] = _view(spark, sf_dir, name).persist()
@@ -84,8 +107,11 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part", "documents", "events") if re.search(rf"\b{t}\b", VIEWS[name])}
     tables |= {v: view(spark, sf_dir, v) for v in _NEEDS[name]}
     sql = VIEWS[name].replace('"left"', "`left`")
-    if "split_words" in sql:
-        tables["split_words"] = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "posexplode(split(text, '[ \\n]+')) AS (pos, word)")
+    sql = re.sub(r"string_agg\((\w+), ' ' ORDER BY (\w+)\)", r"listagg(\1, ' ') WITHIN GROUP (ORDER BY \2)", sql)
+    for split, (table, key, gap) in SPLITS.items():
+        if re.search(rf"\b{split}\b", sql):
+            source = view(spark, sf_dir, table) if table in VIEWS else spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            tables[split] = source.select(*key.split(", "), F.posexplode(F.split("text", gap)).alias("pos", "word"))
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **tables)
@@ -103,7 +129,10 @@ def with_views(*names: str) -> str:
 
     for n in names:
         need(n)
-    parts = [f"{n} AS ({VIEWS[n]})" for n in order]
-    if "words" in order:
-        parts.insert(0, "split_words AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS word, generate_subscripts(string_split_regex(text, '[ \\n]+'), 1) - 1 AS pos FROM documents)")
+    parts = []
+    for n in order:
+        for split, (table, key, gap) in SPLITS.items():
+            if re.search(rf"\b{split}\b", VIEWS[n]):
+                parts.append(f"{split} AS (SELECT {key}, unnest(string_split_regex(text, '{gap}')) AS word, generate_subscripts(string_split_regex(text, '{gap}'), 1) - 1 AS pos FROM {table})")
+        parts.append(f"{n} AS ({VIEWS[n]})")
     return "WITH " + ", ".join(parts) + " "

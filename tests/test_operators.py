@@ -100,20 +100,23 @@ def test_three_pages(spark):
     assert chosen["doc_id"] == "d" and set(chosen["pages"]) == set(best["pages"])
 
 
-CELL = "doc string, page int, table_id string, seq int, row_index int, col_index int, row_span int, col_span int, text string"
+CELL = "doc string, page int, table_id string, table_index int, seq int, row_index int, col_index int, row_span int, col_span int, text string"
 
 
 def test_association(spark):
-    cells = spark.createDataFrame([("d", 1, "t", 0, 7, 1, 1, 1, "Salary"), ("d", 1, "t", 1, 7, 3, 1, 1, "2.68\n72.00\n20.60"), ("d", 1, "t", 2, 8, 1, 1, 1, "unrelated"), ("d", 1, "t", 3, 8, 3, 1, 1, "72.00"), ("d", 1, "t", 4, 9, 1, 1, 1, "Office Supplies")], CELL)
+    cells = spark.createDataFrame([("d", 1, "t", 0, 0, 7, 1, 1, 1, "Salary"), ("d", 1, "t", 0, 1, 7, 3, 1, 1, "2.68\n72.00\n20.60"), ("d", 1, "t", 0, 2, 8, 1, 1, 1, "unrelated"), ("d", 1, "t", 0, 3, 8, 3, 1, 1, "72.00"), ("d", 1, "t", 0, 4, 9, 1, 1, 1, "Office Supplies")], CELL)
     raws = spark.createDataFrame([("d", 1, i, r) for i, r in enumerate(("2.68", "72.00", "20.60", "999.99"))], "doc string, page int, pos int, raw string")
     got = {r["raw"]: (r["table_row_index"], r["budget_item"], r["source"]) for r in tables.associate(raws, cells).collect()}
     assert got == {"2.68": (7, "Salary", "table_row"), "72.00": (8, "Other", "table_row"), "20.60": (9, "Supplies", "table_row"), "999.99": (None, "d", "page_default")}
     assert tables.cell_at(cells, 7, 3).first()["text"].startswith("2.68")
+    # the second table comes before the eleventh, whatever their names
+    two = spark.createDataFrame([("d", 1, "t10", 10, 0, 1, 1, 1, 1, "Supplies"), ("d", 1, "t10", 10, 1, 1, 2, 1, 1, "5.00"), ("d", 1, "t2", 2, 0, 1, 1, 1, 1, "Salary"), ("d", 1, "t2", 2, 1, 1, 2, 1, 1, "5.00")], CELL)
+    assert tables.associate(spark.createDataFrame([("d", 1, 0, "5.00")], "doc string, page int, pos int, raw string"), two).first()["budget_item"] == "Salary"
 
 
 def test_blocks(spark):
     blocks = [("t", "TABLE", None, None, None, ["c1", "c2"]), ("c1", "CELL", 1, 1, None, ["w2", "w1"]), ("c2", "CELL", 2, 1, None, []), ("w1", "WORD", None, None, "Costs", []), ("w2", "WORD", None, None, "Salary", [])]
-    df = spark.createDataFrame([("d", 1, i, k, r, c, None, None, t, ch) for i, k, r, c, t, ch in blocks], "doc string, page int, id string, type string, row_index int, col_index int, row_span int, col_span int, text string, child_ids array<string>")
+    df = spark.createDataFrame([("d", 1, n, i, k, r, c, None, None, t, ch) for n, (i, k, r, c, t, ch) in enumerate(blocks)], "doc string, page int, ord int, id string, type string, row_index int, col_index int, row_span int, col_span int, text string, child_ids array<string>")
     cells = tables.resolve_blocks(df)
     assert [(r["row_index"], r["text"]) for r in cells.orderBy("seq").collect()] == [(1, "Salary Costs"), (2, "")]
     assert {r["row_index"]: r["budget_item"] for r in tables.row_budgets(cells).collect()}[1] == "Salary"
@@ -156,6 +159,13 @@ def test_invoice_csv(spark, tmp_path):
     odd = tmp_path / "b.csv"
     odd.write_text("Report\nfor May\nBudget Item,Amount\nFringe,10.5\n")
     assert [(r["row_index"], r["budget_item"]) for r in readers.read_invoice(spark, str(odd)).collect()] == [(0, "Fringe")]
+    broken = tmp_path / "c.csv"
+    broken.write_text('Report\nBudget Item,Amount,Explanation\nSalary,"1,000.00","two\nlines, ""quoted"""\nFringe,5,x\n')
+    got = [(r["row_index"], r["budget_item"], r["amount"] and str(r["amount"]), r["explanation"]) for r in readers.read_invoice(spark, str(broken)).orderBy("row_index").collect()]
+    assert got == [(0, "Salary", "1000.00", 'two\nlines, "quoted"'), (1, "Fringe", "5.00", "x")]
+    none = tmp_path / "d.csv"
+    none.write_text("")
+    assert readers.read_invoice(spark, str(none)).count() == 0
 
 
 def test_stores_and_sinks(spark, tmp_path):
@@ -167,12 +177,13 @@ def test_stores_and_sinks(spark, tmp_path):
     assert readers.read_edits(spark, str(tmp_path / "none.json")).count() == 0
     hashed = overlays.with_hashes(pages)
     assert overlays.stale(hashed, hashed.filter("doc_id = 'a'"), ["doc_id", "page_number"], "text_sha256").count() == 1
-    job = spark.createDataFrame([("j",)], "job_id string")
-    docs = spark.createDataFrame([("d", 1)], "doc_id string, page_count int")
-    groups = spark.createDataFrame([("g", ["r"])], "group_id string, row_ids array<string>")
-    items = spark.createDataFrame([(1, "é"), (0, None)], "row_index int, label string")
-    text = sinks.reconciliation_json(job, docs, groups, items).first()["value"]
-    assert '"line_items":[{"row_index":0,"label":null},{"row_index":1,"label":"é"}]' in text
+    job = spark.createDataFrame([("j", "a.csv"), ("k", "b.csv")], "job_id string, inputs string")
+    docs = spark.createDataFrame([("j", "d", 1)], "job_id string, doc_id string, page_count int")
+    groups = spark.createDataFrame([("j", "g", ["r"])], "job_id string, group_id string, row_ids array<string>")
+    items = spark.createDataFrame([("j", 1, "é"), ("j", 0, None), ("k", 0, "x")], "job_id string, row_index int, label string")
+    made = {r["job_id"]: r["value"] for r in sinks.reconciliation_json(job, docs, groups, items).collect()}
+    assert '"line_items":[{"row_index":0,"label":null},{"row_index":1,"label":"é"}]' in made["j"]
+    assert made["k"] == '{"job":{"job_id":"k"},"inputs":"b.csv","documents":[],"navigation_groups":[],"line_items":[{"row_index":0,"label":"x"}]}'
 
 
 def test_tiers(spark):
