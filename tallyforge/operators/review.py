@@ -168,8 +168,8 @@ def navigation(items: DataFrame, *keys: str) -> DataFrame:
 
 
 def navigation_order(groups: DataFrame) -> DataFrame:
-    """Groups in the order of their ids."""
-    return groups.orderBy("group_id")
+    """Groups in the order of their ids, numbered by place from 1; a job has few of them."""
+    return groups.withColumn("place", F.row_number().over(Window.orderBy("group_id"))).orderBy("place")
 
 
 def invalid_pages(selected: DataFrame, documents: DataFrame) -> DataFrame:

@@ -610,10 +610,12 @@ def report_rows(spark, d):
 
 
 @query(f"""{_RV}, k AS (SELECT *, trim(regexp_replace(lower(first_name || ' ' || last_name), '[^a-z0-9]+', '_', 'g'), '_') AS ek, trim(regexp_replace(lower(budget_item), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM reviewed)
-    SELECT slug AS group_id, budget_item AS label, NULL::VARCHAR AS employee_key, md5(string_agg(row_id, ',' ORDER BY row_index)) AS ids_md5 FROM k GROUP BY slug, budget_item
-    UNION ALL SELECT slug || '__' || ek, budget_item || ' - ' || min_by(first_name || ' ' || last_name, row_index), ek, md5(string_agg(row_id, ',' ORDER BY row_index)) FROM k WHERE budget_item IN ('Salary', 'Fringe') GROUP BY slug, budget_item, ek""")
+    , g AS (SELECT slug AS group_id, budget_item AS label, NULL::VARCHAR AS employee_key, md5(string_agg(row_id, ',' ORDER BY row_index)) AS ids_md5 FROM k GROUP BY slug, budget_item
+    UNION ALL SELECT slug || '__' || ek, budget_item || ' - ' || min_by(first_name || ' ' || last_name, row_index), ek, md5(string_agg(row_id, ',' ORDER BY row_index)) FROM k WHERE budget_item IN ('Salary', 'Fringe') GROUP BY slug, budget_item, ek)
+    SELECT *, (row_number() OVER (ORDER BY group_id))::INT AS place FROM g""")
 def navigation_groups(spark, d):
-    return review.navigation(view(spark, d, "reviewed")).select("group_id", "label", "employee_key", F.md5(F.array_join("row_ids", ",")).alias("ids_md5"))
+    groups = review.navigation_order(review.navigation(view(spark, d, "reviewed")))
+    return groups.select("group_id", "label", "employee_key", F.md5(F.array_join("row_ids", ",")).alias("ids_md5"), "place")
 
 
 @query(f"""{_RV}, dc AS (SELECT 'd' || c_custkey AS doc_id, (c_custkey % 9)::INT AS page_count FROM customer WHERE c_custkey % 10 <> 0)
