@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +17,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session names no bound of its own.
+ARROW_BYTES = 4 << 20
+#: What Python workers remember between tasks; forget() empties it.
+MEMORIES: list[Callable[[], None]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the Python workers, once for each application.
+    """Sends this package's code to the Python workers, once for each application, and bounds Arrow batches.
 
     Workers then import it wherever they start; nothing need be installed on the executors.
+    Rows hold whole texts, so batches are bounded in bytes: the number of rows alone bounds no memory.
     """
     context = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
     if getattr(context, "_tallyforge_sent", None) == context.applicationId:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,13 +53,32 @@ def ship(spark: SparkSession) -> None:
     context._tallyforge_sent = context.applicationId
 
 
+def forget() -> None:
+    """Gives a Python worker's memory back before a stage of another kind: workers are reused, and idle memories add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for empty in MEMORIES:
+        empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the cluster names none (single-machine tests), a temporary folder is set once.
+    Where none is named, a temporary folder is set once, but on a single machine only: executors
+    elsewhere would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -66,7 +97,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
+
+
+_made: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for clear()."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes the tables staged after mark() but those of kept, once nothing else will read them."""
+    names = {df._staged_path for df in kept}
+    left = []
+    for path in _made[since:]:
+        if path in names:
+            left.append(path)
+        else:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _made[since:] = left
 
 
 def let(value: Column, body) -> Column:

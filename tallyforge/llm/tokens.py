@@ -6,11 +6,13 @@ digits, other runs) that are encoded independently of each other and end with a
 word-final token each, so a text's ids are the concatenation of its pieces' ids. That
 shortcut is taken only for texts whose characters all lie where the normaliser (NFC,
 white space, lower case) and the split are plain; any other text goes through the
-library whole.
+library whole. A vocabulary file of any other make (another normaliser, split or model)
+gets no shortcut: all its texts go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallyforge.llm import common
+
 #: Every character here is NFC already, lower-cases to one letter, and its class is fixed.
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-ž‐-‧€]*")
 _LETTER = "a-zªµºß-öø-ÿĀ-ž"
@@ -27,6 +31,28 @@ _DIGIT = "0-9²³¹¼-¾"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|\n|[^ \n{_LETTER}{_DIGIT}]+")
 #: Words and pieces a worker remembers; beyond this it starts anew, so its memory is bounded.
 _REMEMBERED = 250_000
+# The make of vocabulary that the shortcut is right for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+
+
+def has_shortcut(made: dict) -> bool:
+    """Whether a vocabulary file's content is of the make that the shortcut assumes."""
+    model = made["model"]
+    return (
+        made["normalizer"] == _NORMALIZER
+        and made["pre_tokenizer"] == _SPLIT
+        and made["post_processor"] is None
+        and all(model.get(k) == v for k, v in _MODEL.items())
+        and all("<|" in t["content"] for t in made["added_tokens"])
+    )
 
 
 def default_vocabulary() -> str:
@@ -71,7 +97,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            self.shortcut = has_shortcut(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pieces = _Store(), _Store()
+        if not self.shortcut:
+            return
         # the same model for text that is normalised and split already
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -79,7 +110,6 @@ class Encoder:
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.final[i] = token.endswith("</w>")
-        self.words, self.pieces = _Store(), _Store()
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,6 +140,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text. Null: none."""
+        if not self.shortcut:
+            return self._whole([t or "" for t in texts.to_pylist()])
         for store in ("words", "pieces"):
             if getattr(self, store).n > _REMEMBERED:
                 setattr(self, store, _Store())
@@ -136,6 +168,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+common.MEMORIES.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -145,7 +178,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part's texts have about limit bytes, whatever their number."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit
