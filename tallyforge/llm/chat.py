@@ -10,10 +10,16 @@ from tallyforge.llm import common
 #: Roles that set the scene: they keep their role, and no perspective is theirs.
 CONTEXT = ("system", "tool", "function")
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: How a marker inside a content or a name is written, so that no turn can be forged.
+MARKER, ESCAPED = "<|im_", "<\\|im_"
 #: Turns that are ordered together; a longer dialogue is spread over several tasks.
 STRETCH = 64
 
 
+def _escaped(c):
+    return F.replace(c, F.lit(MARKER), F.lit(ESCAPED))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """Renders conversations(conv_id, turn, role, text) once for every participant.
 
@@ -24,6 +30,9 @@ def rotate(conversations: DataFrame) -> DataFrame:
     the segments by position) and mask: true where the content is the assistant's, the part
     to learn from.
 
+    Markers in contents and names are written with a backslash (ESCAPED), line feeds in names
+    as spaces; perspective and speaker stay as they are. Offsets count what is rendered.
+
     Turns are ordered by turn, then speaker, then text; a null comes last. Repeated turns
     all stay. Null text: empty. Null role: an unnamed user, no perspective. A dialogue
     without participants has one rendering with a null perspective and no mask. Null
@@ -33,7 +42,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     themselves and placed by the sums of the stretches before them.
     """
     turns = conversations.select(
-        F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content")
+        F.col("conv_id"), F.col("turn"), F.col("role").cast("string").alias("speaker"), _escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content")
     ).withColumn("stretch", F.floor(F.col("turn") / STRETCH).cast("long"))
     speaking = turns.filter(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*CONTEXT)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     stretches = turns.select("conv_id", "stretch").distinct()
@@ -42,7 +51,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     role = F.when(own, "assistant").when(F.col("speaker").isin(*CONTEXT), F.col("speaker")).otherwise("user")
-    head = F.concat(F.lit(START), role, F.when(own | F.col("speaker").isNull() | F.col("speaker").isin(*CONTEXT), F.lit("\n")).otherwise(F.concat(F.lit(" name="), F.col("speaker"), F.lit("\n"))))
+    head = F.concat(F.lit(START), role, F.when(own | F.col("speaker").isNull() | F.col("speaker").isin(*CONTEXT), F.lit("\n")).otherwise(F.concat(F.lit(" name="), F.replace(_escaped(F.col("speaker")), F.lit("\n"), F.lit(" ")), F.lit("\n"))))
     shown = rows.withColumns({"mask": own, "shown_role": role, "head": head}).withColumn("chars", (F.length("head") + F.length("content") + len(END)).cast("long"))
 
     view = ("conv_id", "perspective")
@@ -76,11 +85,11 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _IN = ", ".join(f"'{c}'" for c in CONTEXT)
 ORACLE_SQL = f"""
-    WITH t AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS content FROM conversations),
+    WITH t AS (SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '{MARKER}', '{ESCAPED}') AS content FROM conversations),
     p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS NOT NULL AND speaker NOT IN ({_IN})),
     r AS (SELECT t.*, perspective, coalesce(speaker = perspective, false) AS mask FROM t LEFT JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
     h AS (SELECT *, CASE WHEN mask THEN 'assistant' WHEN speaker IN ({_IN}) THEN speaker ELSE 'user' END AS role,
-        CASE WHEN mask OR speaker IS NULL OR speaker IN ({_IN}) THEN '' ELSE ' name=' || speaker END AS name FROM r),
+        CASE WHEN mask OR speaker IS NULL OR speaker IN ({_IN}) THEN '' ELSE ' name=' || replace(replace(speaker, '{MARKER}', '{ESCAPED}'), chr(10), ' ') END AS name FROM r),
     s AS (SELECT *, '{START}' || role || name || chr(10) AS head FROM h),
     g AS (SELECT *, head || content || '{END.strip()}' || chr(10) AS segment FROM s)
     SELECT conv_id, perspective, turn, row_number() OVER w - 1 AS position, speaker, role, segment,
