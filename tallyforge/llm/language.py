@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, tokens
 
-#: Labelled documents of each language that the model is fitted on, chosen by hash.
-FIT_DOCUMENTS = 300
+#: Labelled documents of each language that the model is fitted on, chosen by hash, the
+#: characters of each that it sees, and languages (the most frequent ones) that it learns.
+FIT_DOCUMENTS, FIT_CHARS, FIT_LANGUAGES = 300, 40_000, 200
 #: Slots of the hashed affix and n-gram weights; lexicon entries.
 SLOTS, LEXICON = 1 << 17, 50_000
 STEPS, SEQUENCES, SPAN, LENGTH = 160, 192, 14, 48
 #: Words that are stepped through together; longer texts are strung from such segments.
 SEGMENT = 64
+#: Bytes of texts that a worker labels at once.
+BATCH = 2_000_000
 
 _U = np.uint64
 _MIX1, _MIX2, _GOLD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -198,6 +201,8 @@ def train(samples: list[tuple[str, str]], seed: int = 3) -> Model:
     share = table.sum(axis=0) / max(1, table.sum())
     common_words = np.sort(np.argsort(-counts, kind="stable")[:LEXICON])
     common_words = common_words[counts[common_words] >= 3]
+    if not len(samples):
+        return Model([], np.zeros((SLOTS, 0), np.float32), 0.2, np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     leaning = np.log((table[common_words] / np.maximum(table.sum(axis=0), 1) + 1e-6) / ((table[common_words] / np.maximum(table.sum(axis=0), 1)).mean(axis=1, keepdims=True) + 1e-6))
     model = Model(labels, np.zeros((SLOTS, k), np.float32), 0.2, unique[common_words], np.clip(leaning, -4, 4).astype(np.float32), np.zeros((k, k)))
     if k < 2 or not len(label):
@@ -265,20 +270,21 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> Model:
-    """Fits on whole texts of at most about documents labelled rows of each language.
+    """Fits on about documents labelled rows of each of the FIT_LANGUAGES most frequent languages.
 
     Rows are chosen by hash among those that are not held out; null doc_id, text or lang: not
-    used. What comes to the driver is bounded by documents times the number of languages.
+    used. The fit sees FIT_CHARS characters of a text at most, so what comes to the driver is
+    bounded in bytes, whatever the texts, by two times documents * FIT_LANGUAGES * FIT_CHARS
+    characters. No usable row: a model without labels.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    picks = [(F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 20)) < int((1 << 20) * documents / r["n"]) + 1) for r in counts]
-    if not picks:
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()
+    if not counts:
         return train([])
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen | p
-    rows = usable.filter(chosen).orderBy(F.xxhash64("doc_id", F.lit("crf")), "doc_id").limit(2 * documents * len(counts)).collect()
+    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int((1 << 20) * documents / r["n"]) + 1)))
+    place = F.xxhash64("doc_id", F.lit("crf"))
+    chosen = usable.filter(F.coalesce(F.pmod(place, F.lit(1 << 20)) < F.try_element_at(chance, F.col("lang")), F.lit(False)))
+    rows = chosen.select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * documents * len(counts)).collect()
     return train(sorted((r["text"], r["lang"]) for r in rows))
 
 
@@ -294,9 +300,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
+        common.forget()
         m = shared.value
         for whole in batches:
-            for part in tokens.batches(whole, limit=3_000_000):
+            for part in tokens.batches(whole, limit=BATCH):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
                 words = words_of(texts)
                 n = np.bincount(words.doc, minlength=len(texts))
