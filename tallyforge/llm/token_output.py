@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, simple8b, tokens
 
-SHARDS = "part int, seq int, start_in_part long, n_docs long, n_ids long, image binary"
+SHARDS = "part int, seq int, start_in_part long, n_docs long, n_ids long, path string"
 
 
-def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, shard_ids: int = 1 << 20) -> DataFrame:
-    """Encodes docs(doc_id, text) and writes its ids as Simple-8b shards; returns the written table.
+def write_token_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 1, shard_ids: int = 1 << 20) -> DataFrame:
+    """Encodes docs(doc_id, text) and writes its ids as Simple-8b files under folder; returns their list.
 
-    Documents are dealt to partitions by doc_id ranges and sorted within, so shards in
-    (part, seq) order hold ascending doc_id. A shard closes once it holds shard_ids ids; a
-    document is never cut. Each row of the table holds one complete file image and its
-    place; Spark's committer makes the write safe against lost executors, on any file
-    system; export_shards() puts the images into plain files.
+    folder is a URI that all executors can write to (file, hdfs, s3, gs: what Arrow's file
+    systems open). Documents are dealt to partitions by ranges of doc_id and sorted within, so
+    files in (part, seq) order hold ascending doc_id. A file closes once it holds shard_ids
+    ids; a document is never cut. An executor writes a file under a name of its own attempt
+    and reports it; the list of the attempts that counted is committed by Spark as a table
+    under folder/list. So a lost executor, or a task that runs twice, leaves at most files
+    that no list names.
 
-    Null or empty text: only the end id. Null doc_id: first. Equal doc_ids: by text.
-    No rows: an empty table. Other columns are ignored.
+    Null or empty text: only the end id. Null doc_id: first. Equal doc_ids: by the hash of
+    their text, then the text. No rows: an empty list. Other columns are ignored.
     """
     common.ship(docs.sparkSession)
     vocabulary = vocabulary or tokens.default_vocabulary()
+    folder = folder.rstrip("/")
 
     def encode(batches):
-        part = TaskContext.get().partitionId()
+        where, base = _open(f"{folder}/files")
+        where.create_dir(base, recursive=True)
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
         seq, start, held = 0, 0, 0
         keys: list = []
         lengths: list[np.ndarray] = []
@@ -40,8 +46,10 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
 
         def close():
             nonlocal seq, start, held, keys, lengths, ids
-            image = simple8b.write_shard(keys, np.concatenate(lengths), np.concatenate(ids))
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start]), pa.array([len(keys)]), pa.array([held]), pa.array([image], pa.binary())], ["part", "seq", "start_in_part", "n_docs", "n_ids", "image"])
+            name = f"{part:06d}-{seq:06d}-{attempt}.s8b"
+            with where.open_output_stream(f"{base}/{name}") as f:
+                f.write(simple8b.write_shard(keys, np.concatenate(lengths), np.concatenate(ids)))
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start]), pa.array([len(keys)]), pa.array([held]), pa.array([f"{folder}/files/{name}"])], ["part", "seq", "start_in_part", "n_docs", "n_ids", "path"])
             seq, start, held, keys, lengths, ids = seq + 1, start + held, 0, [], [], []
             return row
 
@@ -67,16 +75,23 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
         if keys:
             yield close()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).repartitionByRange(common.partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(encode, SHARDS).write.parquet(path)
-    return docs.sparkSession.read.schema(SHARDS).parquet(path)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("salt", F.xxhash64("text"))
+    dealt = texts.repartitionByRange(common.partitions(docs), "doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text")
+    dealt.select("doc_id", "text").mapInArrow(encode, SHARDS).write.parquet(f"{folder}/list")
+    return docs.sparkSession.read.schema(SHARDS).parquet(f"{folder}/list")
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
 
 def read_token_shards(shards: DataFrame, schema: str, rows: Callable[[list, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
-    """Decodes shards; rows(doc_ids, starts, lengths, ids) gives the arrays of one shard's result.
+    """Reads and decodes listed files; rows(doc_ids, starts, lengths, ids) gives the arrays of one file's result.
 
-    The ids before each part are summed from the shards' own counts: one number for each
-    write partition comes to the driver, never more.
+    The ids before each part are summed from the list's counts: one number for each write
+    partition comes to the driver, never more. A task holds one file at a time.
     """
     common.ship(shards.sparkSession)
     base, total = {}, 0
@@ -85,13 +100,16 @@ def read_token_shards(shards: DataFrame, schema: str, rows: Callable[[list, np.n
 
     def read(batches):
         for batch in batches:
-            for part, start, image in zip(batch.column("part").to_pylist(), batch.column("start_in_part").to_pylist(), batch.column("image")):
-                shard = simple8b.read_shard(image.as_buffer())
+            for part, start, path in zip(*(batch.column(c).to_pylist() for c in ("part", "start_in_part", "path"))):
+                where, name = _open(path)
+                with where.open_input_stream(name) as f:
+                    shard = simple8b.read_shard(f.read())
                 starts = base[part] + start + np.cumsum(shard.lengths) - shard.lengths
                 yield pa.RecordBatch.from_arrays(rows(shard.doc_ids, starts, shard.lengths, shard.ids()), names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return shards.select("part", "start_in_part", "image").mapInArrow(read, schema)
+    # a list is small and would be read in few tasks; its files are dealt out
+    return shards.select("part", "start_in_part", "path").repartition(2 * common.partitions(shards), "path").mapInArrow(read, schema)
 
 
 def document_ids(shards: DataFrame) -> DataFrame:
@@ -114,26 +132,6 @@ def digests(shards: DataFrame) -> DataFrame:
     return read_token_shards(shards, "doc_id long, start long, n_tokens long, ids_crc32 long", rows)
 
 
-def export_shards(shards: DataFrame, folder: str) -> int:
-    """Writes each image to folder/part-seq.s8b, a folder all executors see; returns the number of files."""
-    common.ship(shards.sparkSession)
-
-    def put(batches):
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(folder)
-        where.create_dir(base, recursive=True)
-        n = 0
-        for batch in batches:
-            for part, seq, image in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("image")):
-                with where.open_output_stream(f"{base}/{part:06d}-{seq:06d}.s8b") as f:
-                    f.write(image.as_buffer())
-                n += 1
-        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
-
-    return shards.select("part", "seq", "image").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return digests(write_token_shards(docs, common.staged_path(spark, "token-shards")))
