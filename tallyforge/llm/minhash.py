@@ -20,8 +20,12 @@ SLOTS = BANDS * ROWS
 #: similarity of 0.8 the expected number is 77 with a deviation of 3.9, so 53 is 6 deviations off.
 LEAST_AGREED = 53
 STAR_ROUNDS = 2
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
+#: Members of a bucket, and shingles of theirs, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+#: Members of a bucket that meet its leader in one place; the rest of a large bucket meets copies of it.
+SPLIT = 2000
+#: Bytes of texts that a worker signs at once, and bytes of a text whose words are hashed at once.
+BATCH, STRETCH = 500_000, 500_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -55,8 +59,24 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each word in the bytes of a text, A-Z lower-cased.
 
     A word's hash is a polynomial over random byte values, taken for all words at once from
-    running sums and mixed with the length afterwards.
+    running sums and mixed with the length afterwards. Long data is taken in stretches of
+    whole words, so that what is needed for each byte at once stays small.
     """
+    found, at = [], 0
+    while at < len(data):
+        end = at + STRETCH
+        while end < len(data) and not _IS_GAP[data[end]]:
+            after = np.flatnonzero(_IS_GAP[data[end : end + STRETCH]])
+            end += int(after[0]) if len(after) else STRETCH
+        start, h = _stretch(data[at:end])
+        found.append((start + at, h))
+        at = end
+    if len(found) == 1:
+        return found[0]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _LOWER[data]
     word = ~_IS_GAP[low]
     edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
@@ -79,7 +99,9 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     # a gap after each text keeps its last word from running into the next
-    spaced = np.insert(data, offsets[1:], 32)
+    spaced = np.full(len(data) + len(texts), 32, np.uint8)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        spaced[a + i : b + i] = data[a:b]
     start, h = _words(spaced)
     begins = offsets[:-1] + np.arange(len(texts))
     n_words = np.diff(np.append(np.searchsorted(start, begins), len(start)))
@@ -145,10 +167,10 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return _mix(h + np.arange(bands, dtype=np.uint64) * _MUL[3])
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 2_000_000):
+def _parts(batch: pa.RecordBatch):
     from tallyforge.llm import tokens
 
-    return tokens.batches(batch, limit=limit)
+    return tokens.batches(batch, limit=BATCH)
 
 
 def _sets_of(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +186,12 @@ def _digests(sets: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
 
 
 def signed(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature, bands) of docs(doc_id, text), by shingles of width words."""
+    """(doc_id, hash, n_shingles, digest, signature, short, bands) of docs(doc_id, text), by shingles of width words.
+
+    hash tells texts apart, digest shingle sets; short holds the lowest byte of each value of the signature.
+    """
     def sign(batches):
+        common.forget()
         for batch in batches:
             for part in _parts(batch):
                 sets, counts = _sets_of(part, width)
@@ -173,11 +199,12 @@ def signed(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 keys = band_keys(s).astype(np.int64)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(_digests(sets, counts), pa.binary()), pa.array([r.tobytes() for r in s.astype("<u4")], pa.binary()), bands],
-                    ["doc_id", "n_shingles", "digest", "signature", "bands"],
+                    [part.column("doc_id"), part.column("hash"), pa.array(counts.astype(np.int64)), pa.array(_digests(sets, counts), pa.binary()), pa.array([r.tobytes() for r in s.astype("<u4")], pa.binary()), pa.array([r.tobytes() for r in s.astype(np.uint8)], pa.binary()), bands],
+                    ["doc_id", "hash", "n_shingles", "digest", "signature", "short", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    return texts.select("doc_id", "hash", "text").mapInArrow(sign, "doc_id long, hash long, n_shingles long, digest binary, signature binary, short binary, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,6 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
     round is two aggregations with partial minima and joins on the node, so a hub's links
     never meet in one place. Rounds grow with the logarithm of the longest path.
     """
+    spark, since = edges.sparkSession, common.mark()
     links = common.staged(edges.select("a", "b").filter("a <> b").distinct(), "links")
     seen = None
     while True:
@@ -198,6 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         links = common.staged(small.filter("a <> b").distinct(), "links")
+        common.clear(spark, since, links)
         state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -226,38 +255,62 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     Repeated doc_ids: each row belongs to its own text's group. No rows: none
     out. Other columns are ignored.
     """
-    common.ship(docs.sparkSession)
-    rows = common.staged(signed(docs, width), "signed")
-    found = classes(rows, docs, width)
-    joined = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    rows, found = _grouped(docs, width)
+    joined = rows.select("doc_id", "n_shingles", "digest").join(found.select("digest", "component_id"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _grouped(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows of docs, and (digest, root, component_id) of the classes of groups."""
+    common.ship(docs.sparkSession)
+    rows = common.staged(signed(docs, width), "signed")
+    since = common.mark()
+    found = common.staged(classes(rows, docs, width), "grouped")
+    common.clear(docs.sparkSession, since, found)
+    return rows, found
+
+
 def classes(rows: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(digest, component_id) of every class that holds several rows or links to another class."""
-    grouped = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "bands", "signature")).alias("any"))
-    held = common.staged(grouped.select("digest", "first_id", "n", "any.bands", "any.signature"), "classes")
-    places = held.select("digest", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    """(digest, root, component_id) of every class that holds several rows or links to another class."""
+    grouped = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("n_shingles", "signature", "short", "bands")).alias("any"))
+    held = common.staged(grouped.select("digest", "first_id", "n", "any.*"), "classes")
+    places = held.select("digest", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
     members = common.staged(places.join(shared, "bucket"), "members")
     involved = members.select("digest").distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     sets = common.staged(class_sets(texts, rows, involved, width), "sets")
-    signatures = held.select("digest", "signature")
+    signatures = held.select("digest", "signature", "short")
 
-    links: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
         open_members = members if roots is None else unsettled(members, roots)
-        new = common.staged(verified(stars(open_members, turn), signatures, sets), "verified")
-        links = new if links is None else links.union(new)
-        roots = components(links)
-    links = links.union(common.staged(swept(unsettled(members, roots), signatures, sets), "swept"))
-    roots = components(links)
+        roots = contracted(common.staged(verified(stars(open_members, turn), signatures, sets), "verified"), roots)
+    roots = contracted(common.staged(swept(unsettled(members, roots), signatures, sets), "swept"), roots)
     labelled = held.select("digest", "first_id", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("members")).filter("members > 1")
-    return labelled.join(least, "root").select("digest", "component_id")
+    return labelled.join(least, "root").select("digest", "root", "component_id")
+
+
+def contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) under new links(a, b): what is joined already stands as one link from each node to its root."""
+    if roots is None:
+        return components(links)
+    if links.isEmpty():
+        return roots
+    return components(links.union(roots.select("node", "root")))
+
+
+def beside_buckets(members: DataFrame, ofs: DataFrame) -> DataFrame:
+    """members joined with ofs(bucket, ...), one row for each of their buckets.
+
+    A bucket of more than SPLIT members (in_bucket) is spread over as many keys as it needs,
+    and its row of ofs is copied to each, so no bucket meets in one place.
+    """
+    parts = F.ceil(F.col("in_bucket") / SPLIT).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("digest", F.lit(7)), parts).cast("int"))
+    return dealt.join(ofs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("in_bucket"), ["bucket", "part"]).drop("part")
 
 
 def class_sets(texts: DataFrame, rows: DataFrame, involved: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -265,6 +318,7 @@ def class_sets(texts: DataFrame, rows: DataFrame, involved: DataFrame, width: in
     one = rows.join(involved, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
     def gather(batches):
+        common.forget()
         for batch in batches:
             for part in _parts(batch):
                 sets, counts = _sets_of(part, width)
@@ -278,29 +332,30 @@ def class_sets(texts: DataFrame, rows: DataFrame, involved: DataFrame, width: in
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their root, of the buckets that hold several components."""
-    rooted = members.select("digest", "bucket").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    return common.staged(rooted.join(mixed, "bucket"), "unsettled")
+    rooted = members.select("digest", "size", "bucket", "in_bucket").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    mixed = rooted.groupBy("bucket").agg(F.max("in_bucket").alias("in_bucket"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "in_bucket")
+    return common.staged(beside_buckets(rooted, mixed), "unsettled")
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
     """Each member with its bucket's leader; the leader is another one each turn."""
     rank = F.xxhash64("digest", F.lit(turn)) if turn == 0 else F.xxhash64("digest", "bucket", F.lit(turn))
-    leaders = members.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), F.col("digest").alias("leader"))).alias("x")).select("bucket", "x.leader")
-    met = members.join(leaders, "bucket").filter("digest <> leader")
-    if "root" in members.columns:
-        other = members.select("bucket", F.col("digest").alias("leader"), F.col("root").alias("leader_root"))
-        met = met.join(other, ["bucket", "leader"]).filter("root <> leader_root")
+    own = members if "root" in members.columns else members.withColumn("root", F.col("digest"))
+    first = F.min(F.struct(rank.alias("rank"), F.col("digest").alias("leader"), F.col("root").alias("leader_root"))).alias("x")
+    leaders = own.groupBy("bucket").agg(F.max("in_bucket").alias("in_bucket"), first).select("bucket", "in_bucket", "x.leader", "x.leader_root")
+    met = beside_buckets(own, leaders).filter("root <> leader_root")
     return met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
 
 
 def blocked(members: DataFrame) -> DataFrame:
     """Members of buckets of three or more, once for each block of their bucket that they meet.
 
-    (In a bucket of two the star has compared the only pair.)
+    (In a bucket of two the star has compared the only pair.) Blocks are bounded in members
+    and in shingles.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    sized = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = members.groupBy("bucket").agg(F.max("in_bucket").alias("in_bucket"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).filter("n > 2")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = beside_buckets(members, sizes.select("bucket", "in_bucket", blocks.alias("blocks")))
     placed = sized.withColumn("own", F.pmod(F.xxhash64("digest", "bucket"), F.col("blocks")).cast("int"))
     met = placed.select("digest", "root", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return met.select("digest", "root", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -371,11 +426,7 @@ def swept(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFra
                         found.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    @F.udf("binary", useArrow=True)
-    def short(signature):
-        return np.frombuffer(signature, "<u4").astype(np.uint8).tobytes()
-
-    brief = signatures.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", short("signature").alias("short"))
+    brief = signatures.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "short")
     key = ("bucket", "lo", "hi")
     schema = "digest binary, root binary, bucket long, own int, lo int, hi int, short binary"
     near = blocked(members).join(brief, "digest").groupBy(*key).applyInArrow(likely, schema)
@@ -415,10 +466,32 @@ def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
-    """The rows of docs that stay: of each group its smallest doc_id; other columns as they are."""
-    judged = near_duplicates(docs.select("doc_id", "text"), width)
-    gone = judged.filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """The rows of docs that stay: one of each group; other columns as they are.
+
+    The row with the smallest doc_id stays (a null one last); of rows alike in doc_id the one
+    that comes first by its shingles' digest, then its text's hash; of rows alike in doc_id
+    and text any one. So rows that share a doc_id but not the group are judged apart, and
+    repeated rows count as copies, with or without a doc_id. Null, empty and wordless texts
+    belong to no group and stay. No rows: none out.
+    """
+    since = common.mark()
+    rows, found = _grouped(docs.select("doc_id", "text"), width)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("hash").alias("h"))
+    best = rows.join(found.select("digest", "root"), "digest").groupBy("root").agg(F.min(order).alias("best"))
+    grouped = rows.join(found.select("digest", "root"), "digest").join(best, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("digest") == F.col("best.d")) & (F.col("hash") == F.col("best.h"))
+    judged = common.staged(grouped.groupBy("doc_id", "hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("copies")), "judged")
+    common.clear(docs.sparkSession, since, judged)
+
+    def met(verdicts: DataFrame, how: str) -> DataFrame:
+        v = verdicts.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"))
+        return docs.join(v, docs["doc_id"].cast("long").eqNullSafe(v["_d"]) & (F.xxhash64(docs["text"].cast("string")) == v["_h"]), how)
+
+    kept = met(judged.filter("NOT stays OR copies > 1"), "left_anti")
+    repeated = judged.filter("stays AND copies > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(met(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE_SQL = None

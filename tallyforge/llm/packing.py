@@ -76,7 +76,9 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> Plan:
 def cut_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank_in_part): every document's pieces.
 
-    A piece's rank counts the pieces of its length that its partition made before it.
+    A piece's rank counts the pieces of its length that its partition made before it. Null or
+    empty text: one piece with the end id. Every row has its pieces, repeated doc_ids and rows
+    too. No rows: none out. Other columns are ignored.
     """
     common.ship(docs.sparkSession)
     vocabulary = vocabulary or tokens.default_vocabulary()
@@ -117,8 +119,12 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     The histogram of lengths, at most capacity rows, comes to the driver; best-fit
     decreasing is planned on it. Pieces then take slots by rank within their length: the
     rank within a partition plus the pieces of that length in earlier partitions. No
-    length's pieces are gathered anywhere, so a length may hold most of all pieces.
-    pieces must be a stored table, read the same each time.
+    length's pieces are gathered anywhere, so a length may hold most of all pieces: they
+    meet their base by (part, length), in a join that is never a broadcast, as the bases
+    grow with the partitions. pieces must be a stored table, read the same each time, with
+    lengths of 1 to capacity; its other columns stay as they are, but sequence_id, offset,
+    base and rank_in_length must not be among them. Pieces alike in length and rank don't
+    occur; repeated rows have ranks of their own. No rows: none out.
     """
     common.ship(pieces.sparkSession)
     names = pieces.columns
@@ -126,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = plan_best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "part"]).select(*names, (F.col("base") + F.col("rank_in_part")).alias("rank_in_length"))
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).select(*names, (F.col("base") + F.col("rank_in_part")).alias("rank_in_length"))
 
     def seat(batches):
         for batch in batches:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import common
 
 RULES = "host string, path string, verdict string"
-#: Keys that are looked at to place range bounds; they only balance the tasks.
+#: Rows that are looked at, about, to place range bounds; they only balance the tasks.
 BOUND_SAMPLE = 4096
 _LAST = chr(0x10FFFF)
 
@@ -47,22 +46,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     n = common.partitions(pages)
     host, path = parts(F.col("url").cast("string"))
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("page_id")})
-    short = keyed.select(F.substring("key", 1, 256).alias("key"), F.substring("path", 1, 256).alias("path"), "salt")
-    seen = sorted((r["key"], r["path"], r["salt"]) for r in short.orderBy(F.xxhash64("salt", "key", "path")).limit(BOUND_SAMPLE).collect())
-    bounds = sorted({seen[i * len(seen) // (2 * n)] for i in range(1, 2 * n)}) if seen else []
+    # key, path and salt as one text that orders like them; no key holds the separator
+    order = F.concat_ws("\0", F.substring("key", 1, 256), F.substring("path", 1, 256), F.hex("salt"))
+    share = min(1.0, BOUND_SAMPLE / max(1, pages.count()))
+    seen = sorted(r[0] for r in keyed.sample(False, share, 5).select(order).limit(2 * BOUND_SAMPLE).collect())
+    bounds = np.array(sorted({seen[i * len(seen) // (2 * n)] for i in range(1, 2 * n)}) if seen else [], object)
 
-    @F.udf("int", useArrow=True)
-    def range_of(key, path, salt):
-        return bisect_right(bounds, (key, path, salt))
+    @F.pandas_udf("int")
+    def range_of(place):
+        return type(place)(np.searchsorted(bounds, place.to_numpy(object), "right").astype(np.int32))
 
-    @F.udf("array<int>", useArrow=True)
+    @F.pandas_udf("array<int>")
     def ranges_of(key):
-        return list(range(bisect_right(bounds, (key, "", -(1 << 63))), bisect_right(bounds, (key + _LAST, "", 0)) + 1))
+        first, last = (np.searchsorted(bounds, (key + end).to_numpy(object), "right") for end in ("", _LAST))
+        return type(key)([list(range(a, b + 1)) for a, b in zip(first.tolist(), last.tolist())])
 
     own = rules.select(common.lower_ascii(F.col("host").cast("string")).alias("host"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), "verdict").filter("host <> ''")
-    opened = own.withColumn("key", canonical(F.col("host"))).withColumn("range", F.explode(ranges_of("key")))
+    opened = own.withColumn("key", canonical(F.col("host"))).withColumn("range", F.explode(ranges_of(F.substring("key", 1, 256))))
     events = opened.select("range", "key", F.lit(0).alias("kind"), F.lit(None).cast(keyed.schema["page_id"].dataType).alias("page_id"), "host", "path", "verdict").unionByName(
-        keyed.withColumn("range", range_of("key", "path", "salt")).select("range", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+        keyed.withColumn("range", range_of(order)).select("range", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     )
     swept = events.repartition(n, "range").sortWithinPartitions("range", "key", "kind")
     kind = keyed.schema["page_id"].dataType.simpleString()

@@ -1,12 +1,14 @@
 """Operators beyond SQL: against brute force, exact round trips and held-out accuracy."""
 
 import itertools
+import os
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,10 +57,41 @@ def test_token_files(spark, docs, no_docs, plain, tmp_path):
         start += len(ids)
     assert got == want
     assert [r["ids"] for r in token_output.document_ids(shards).filter("doc_id = 6").collect()] == [[*ids_of(plain, "one two"), 1]]
-    assert token_output.export_shards(shards, f"file://{tmp_path}") == shards.count() == len(list(tmp_path.glob("*.s8b")))
+    again = token_output.write_token_shards(docs, f"file://{tmp_path}/out", shard_ids=600)
+    files = sorted(p.name for p in (tmp_path / "out" / "files").iterdir())
+    assert len(files) == again.count() > 1 and files == sorted(r["path"].rpartition("/")[2] for r in again.collect())
+    assert all(simple8b.read_shard(p.read_bytes()).lengths.sum() for p in (tmp_path / "out" / "files").iterdir())
     assert token_output.digests(token_output.write_token_shards(no_docs, common.staged_path(spark, "t"))).count() == 0
 
 
+def crc_rows(texts, encode, end):
+    return sorted((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in ([*encode(t), end] for t in texts))
+
+
+def test_tokens_of_long_texts_ties_and_another_vocabulary(spark, plain):
+    """A text beyond a batch's limit, repeated and null doc_ids, clashing columns, and a vocabulary without the shortcut."""
+    import public_tokenizers
+
+    long = " ".join(f"word{i % 997} über{i % 13}" for i in range(180_000))
+    assert len(long.encode()) > 2_500_000
+    texts = [long, "One text.", "another Text", "another Text", None, "Don't  STOP", ""]
+    rows = [(5, t, "p", 1, b"x") for t in texts] + [(None, t, "p", 1, b"x") for t in texts[1:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, part int, salt binary")
+    shards = token_output.write_token_shards(df, common.staged_path(spark, "t"))
+    got = token_output.digests(shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 6 + [5] * 7 and [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got]).tolist()[:-1]
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == crc_rows([r[1] for r in rows], lambda t: ids_of(plain, t), 1)
+    pieces = packing.pack_documents(df).filter("piece = 0").select("doc_id", "length").collect()
+    assert len(pieces) == len(rows) and sum(r["length"] == 2048 for r in pieces) == 1
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    assert not tokens.encoder(path).shortcut and tokens.encoder(tokens.default_vocabulary()).shortcut
+    few = df.filter("length(text) < 100 OR text IS NULL")
+    got = token_output.digests(token_output.write_token_shards(few, common.staged_path(spark, "t"), vocabulary=path)).collect()
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == crc_rows([r[1] for r in rows if r[1] != long], lambda t: ids_of(other, t), 1)
+
+
 def check_packing(rows, lengths, capacity):
     by_sequence = defaultdict(list)
     for r in rows:
@@ -104,14 +137,14 @@ def test_plan_is_best_fit_decreasing(lengths):
     assert used == len(bins)
 
 
-def brute_set(text):
+def brute_set(text, width=4):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
-    sets = [(d, brute_set(t)) for d, t in rows if d is not None]
+def brute_components(rows, width=4):
+    sets = [(d, brute_set(t, width)) for d, t in rows if d is not None]
     parent = {d: d for d, _ in sets}
 
     def top(x):
@@ -148,9 +181,55 @@ def test_keep_one_takes_shingles_of_five_words(spark):
     assert [r["doc_id"] for r in minhash.keep_one(df).orderBy("doc_id").collect()] == [1, 2]
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Rows that share a doc_id are judged by their texts; exact repeats count as copies; odd texts stay."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [
+        (3, text("a"), "first"),
+        (5, text("a"), "copy of 3"),
+        (5, text("b"), "only in 5"),
+        (7, text("c"), "twice"),
+        (7, text("c"), "twice"),
+        (9, text("d").upper(), "alike but for case"),
+        (9, text("d"), "alike but for case"),
+        (None, text("a"), "copy without an id"),
+        (None, text("e"), "no id"),
+        (None, text("e"), "no id"),
+        (None, text("f"), "no id, alone"),
+        (11, None, "null"),
+        (11, None, "null"),
+        (12, "", "empty"),
+        (13, " \t", "wordless"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, text string, digest string").repartition(3)
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(r["digest"] for r in kept.collect())
+    assert got == sorted(["first", "only in 5", "twice", "alike but for case", "no id", "no id, alone", "null", "null", "empty", "wordless"])
+
+
+def test_near_duplicates_of_long_texts(spark, monkeypatch):
+    """Texts beyond the limits of a batch and of a stretch, and a text that is one long word."""
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(120_000))
+    rows = [(1, long), (2, long.replace("w5 ", "x5 ")), (3, long[: len(long) // 2]), (4, "z" * 1_200_000), (5, "Z" * 1_200_000), (6, "z" * 1_200_001)]
+    df = spark.createDataFrame([(*r, "x", b"y") for r in rows], "doc_id long, text string, bands string, signature binary")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("limit", [50, 1 << 20])
+def test_words_do_not_depend_on_stretches(monkeypatch, limit):
+    texts = pa.array(["a bb  ccc\t" * 40, "", "d" * 300 + " e", "\n", "F f é 中文 x " * 30])
+    want = minhash.shingle_sets(texts)
+    monkeypatch.setattr(minhash, "STRETCH", limit)
+    got = minhash.shingle_sets(texts)
+    assert all((x == y).all() for x, y in zip(got, want))
+
+
 def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
-    """Copies with chains of edits: similarities on both sides of the limit, in blocks of a few."""
+    """Copies with chains of edits: similarities on both sides of the limit, in blocks of a few, buckets split."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SPLIT", 5)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -226,6 +305,9 @@ def test_language_held_out(spark):
     assert len(got) > 50 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df, model).filter("doc_id >= 1000").collect()}
     assert odd == {1000: ("und", 0.0), 1001: ("und", 0.0), 1002: ("und", 0.0)}
+    long = spark.createDataFrame([(7, " ".join(["derung schdie"] * 200_000), "x", "y"), (7, None, "x", "y"), (None, "the whing", "x", "y")], "doc_id long, text string, lang_pred string, score string")
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["n_letter_words"]) for r in language.predict(long, model).collect())
+    assert got == [("7", "de", 400_000), ("7", "und", 0), ("None", "en", 2)]
     mixed = spark.createDataFrame([(1, " ".join(["thing whof theand"] * 8 + ["derung schdie"] * 8))], "doc_id long, text string")
     assert language.predict(mixed, model).first()["n_switches"] >= 1
     assert language.predict(df.limit(0), language.fit(df.limit(0))).count() == 0
@@ -249,10 +331,32 @@ def test_neighbours(spark):
         assert len(found) == 20 and [v for _, v in found] == [s[i] for i, _ in found]
         assert found == sorted(found, key=lambda t: (-t[1], t[0]))
     assert np.mean(recall) >= 0.9
+    huge = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 0.0]), (3, [1.0, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.nearest(huge).orderBy("rank").collect()] == [(1, float("inf")), (3, 2e200), (3, 1e200), (2, float("-inf"))]
+    clash = neighbours.nearest(df.selectExpr("*", "'x' AS code", "1 AS block", "2 AS kind").filter("vec_id < 60"))
+    assert clash.columns == ["query_id", "rank", "vec_id", "score"] and clash.count() == 60
     few = neighbours.nearest(df.filter("vec_id < 5")).collect()
     assert len(few) == 4 and neighbours.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_l"), reason="no test data")
+def test_neighbours_recall_at_50_000_rows(spark):
+    rows = pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"])
+    df = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    x = np.array(rows.column("embedding").to_pylist(), float)
+    ids = rows.column("vec_id").to_numpy()
+    assert len(ids) > 50_000
+    found = defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for i in np.flatnonzero(ids % 20 == 0)[::20]:
+        score = x @ x[i]
+        score[i] = -np.inf
+        recall.append(len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & found[int(ids[i])]) / 20)
+    assert len(recall) > 100 and np.mean(recall) >= 0.9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**12 - 1), min_size=1, max_size=80), st.integers(0, 2**12 - 1), st.integers(0, 12))
 def test_substring_index_is_exact(codes, query, radius):
