@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, language, line_templates, minhash, mixing, neighbours, packing, quality, token_output, url_filter
+from tallyforge.llm import chat, filter_audit, language, line_templates, minhash, mixing, neighbours, packing, quality, token_output, url_filter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op9_multi_index_hashing": neighbours.op9_multi_index_hashing,
         "op10_super_minhash": minhash.op10_super_minhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op6_url_rules": url_filter.ORACLE_SQL,
         "op5_water_filling": mixing.ORACLE_SQL,
         "op8_line_quality": quality.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
     }
