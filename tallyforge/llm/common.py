@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Word: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: A key that more than one in so many rows of a join have is dealt over several tasks.
+HEAVY = 1000
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session names no bound of its own.
@@ -124,6 +126,22 @@ def clear(spark: SparkSession, since: int, *kept: DataFrame) -> None:
     _made[since:] = left
 
 
+def dealt(left: DataFrame, right: DataFrame, key: str, weight: str, by: Column) -> DataFrame:
+    """left joined (left outer) with right by key; right has one row for each key, and about weight rows of left have it.
+
+    Keys of more than one in HEAVY of all rows are at most HEAVY by count, so their list may be
+    broadcast; it deals their rows of left, by a hash of by, over as many tasks as they need, and
+    copies their row of right to each. A null key meets nothing and is dealt like others.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 1
+    copies = F.ceil(F.col(weight) * HEAVY / F.lit(total)).cast("int")
+    heavy = right.filter(F.col(weight) * HEAVY > total).select(key, copies.alias("_parts"))
+    parts = F.when(F.col(key).isNull(), HEAVY).otherwise(F.coalesce("_parts", F.lit(1)))
+    spread = left.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop(weight)
+    return spread.join(copied.hint("merge"), [key, "_part"], "left").drop("_part")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a one-element array's transform binds it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, filter_audit, language, line_templates, minhash, mixing, neighbours, packing, quality, token_output, url_filter
+from tallyforge.llm import chat, filter_audit, language, line_templates, minhash, mixing, neighbours, packing, prefix_trie, quality, simhash, token_output, url_filter
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op10_super_minhash": minhash.op10_super_minhash,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_simhash_trie": simhash.op13_simhash_trie,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql():
         "op5_water_filling": mixing.ORACLE_SQL,
         "op8_line_quality": quality.ORACLE_SQL,
         "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     }
