@@ -146,6 +146,16 @@ def token_in_page(token: Column, text: Column) -> Column:
     return F.contains(text, token) | (token.rlike("[a-z]") & token.rlike("[0-9]") & F.regexp_like(text, token_pattern(token)))
 
 
+def squeezed(c: Column) -> Column:
+    """Lower-cased, without white space between letters and digits: what token_in_page() finds in c is contained in this."""
+    return F.regexp_replace(F.lower(c), r"(?<=[a-z])\s+(?=[0-9])|(?<=[0-9])\s+(?=[a-z])", "")
+
+
+def token_runs(c: Column) -> Column:
+    """The distinct runs of a-z and 0-9 of a page, squeezed; a token (P18) that the page holds stands inside one."""
+    return F.array_distinct(F.regexp_extract_all(squeezed(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
 def word_set(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
 
@@ -156,24 +166,53 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (both lengths), by a row-wise aggregate over b for each character of a."""
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    others = F.filter(F.split(b, ""), lambda c: c != "")
-    zeros = F.transform(others, lambda c: F.lit(0))
+#: Characters of a text that one number holds a bit for, with room for a carry.
+LIMB = 60
+
+
+def _common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, by bits.
+
+    A set of numbers holds a bit for each character of b. For each character of a, one
+    addition and a mask, with a carry from number to number, clear the bits at which the
+    subsequence grows; the cleared bits are its length.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda n: F.call_function("shiftleft", one, n.cast("int"))
+    full = F.lit((1 << LIMB) - 1)
+
+    def walked(others: Column) -> Column:
+        limbs = F.sequence(F.lit(0), F.ceil(F.size(others) / LIMB).cast("int") - 1)
+        valid = F.transform(limbs, lambda k: bit(F.least(F.lit(LIMB), F.size(others) - k * LIMB)) - one)
+
+        def mask(char: Column) -> Column:
+            own = lambda k: F.transform(F.slice(others, k * LIMB + 1, F.lit(LIMB)), lambda x, i: F.when(x == char, bit(i)).otherwise(F.lit(0).cast("long")))
+            return F.transform(limbs, lambda k: F.aggregate(own(k), F.lit(0).cast("long"), lambda acc, x: acc + x))
 
-    def row(above: Column, char: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            left = F.when(i > 0, F.element_at(acc, -1)).otherwise(F.lit(0))
-            corner = F.when(i > 0, F.get(above, i - 1)).otherwise(F.lit(0))
-            value = F.when(F.get(others, i) == char, corner + 1).otherwise(F.greatest(left, F.get(above, i)))
-            return F.concat(acc, F.array(value))
+        def over(masks: Column) -> Column:
+            def step(v: Column, char: Column) -> Column:
+                def limb(state: Column, k: Column) -> Column:
+                    here, m = F.get(v, k), F.get(F.try_element_at(masks, char), k)
+                    total = here + here.bitwiseAND(m) + state["carry"]
+                    kept = total.bitwiseAND(full).bitwiseOR(here.bitwiseAND(F.bitwise_not(m)))
+                    return F.struct(F.shiftright(total, LIMB).alias("carry"), F.array_append(state["v"], kept).alias("v"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(above) - 1), F.array().cast("array<int>"), cell)
+                none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("v"))
+                return F.when(F.map_contains_key(masks, char), F.aggregate(limbs, none, limb)["v"]).otherwise(v)
 
+            left = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), valid, step)
+            return F.size(others) - F.aggregate(F.zip_with(left, valid, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x)
+
+        entries = F.transform(F.array_distinct(others), lambda c: F.struct(c.alias("key"), mask(c).alias("value")))
+        return F.get(F.transform(F.array(F.map_from_entries(entries)), over), F.lit(0))
+
+    return F.get(F.transform(F.array(F.filter(F.split(b, ""), lambda c: c != "")), walked), F.lit(0))
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """100 * 2 * LCS / (both lengths)."""
     total = F.length(a) + F.length(b)
-    lcs = F.element_at(F.aggregate(chars, zeros, row), -1)
-    return F.when(total == 0, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(200.0 * lcs / total)
+    return F.when(a == b, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(200.0 * _common_length(a, b) / total)
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -223,6 +262,18 @@ def csv_field(c: Column) -> Column:
     return F.when(t.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 
+def amounts_shown(c: Column) -> Column:
+    """All d.dd that a text contains, at whatever place in a number, as texts: 172.005 shows 172.00, 72.00 and 2.00."""
+    numbers = F.regexp_extract_all(c, F.lit(r"(?<![0-9])(?=([0-9]+[.][0-9]{2}))"), F.lit(1))
+    tails = F.transform(numbers, lambda n: F.transform(F.sequence(F.lit(1), F.length(n) - 3), lambda i: F.substring(n, i, F.length(n))))
+    return F.array_distinct(F.concat(F.flatten(tails), F.regexp_extract_all(c, F.lit(r"(?=(-[0-9]+[.][0-9]{2}))"), F.lit(1))))
+
+
+def dollars_shown(c: Column) -> Column:
+    """All whole d of $d that a text contains, as texts."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\$\s*([0-9]+)(?![.0-9])"), F.lit(1)))
+
+
 def amount_text(c: Column) -> Column:
     """Two decimals when positive, else empty."""
     return F.when(c > 0, F.format_string("%.2f", c.cast("double"))).otherwise(F.lit(""))

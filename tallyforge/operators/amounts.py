@@ -47,36 +47,33 @@ def first_exact(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
     return hits.groupBy("row_id", "doc", "page").agg(F.min_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
 
 
-def _positions(n: int) -> list[str]:
-    return [f"p{i}" for i in range(1, n + 1)]
-
-
 def component_hits(items: DataFrame, page_amounts: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """(row_id, doc, page, size, positions, values): the first component sum of each page.
 
     Two to four amounts at different places of one page add up to the item's amount; the
     smallest size wins, then the first positions in order. Amounts attributed to another
-    budget item stay out (F16). Pages in exclude(row_id, doc, page) aren't searched.
+    budget item stay out (F16). Pages in exclude(row_id, doc, page) don't count.
 
-    Pairs meet on cents of what is missing; threes join a pair with a single, fours a pair with a
-    pair, so that no step multiplies a page's amounts more than twice over.
+    Items of a document that ask for the same amount under the same budget item are one goal.
     """
-    searched = payable(items).filter(F.col("amount") < COMPONENT_LIMIT).select("row_id", "doc", F.col("budget_item").alias("own"), F.col("amount").cast("double").alias("target"))
-    pages = searched.join(page_amounts.select("doc", "page").distinct(), "doc")
-    if exclude is not None:
-        pages = pages.join(exclude.select("row_id", "doc", "page"), ["row_id", "doc", "page"], "left_anti")
-    page_count = page_amounts.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("on_page")).filter("on_page > 1").select("doc", "page")
-    rows = pages.join(page_count, ["doc", "page"]).join(page_amounts, ["doc", "page"]).filter(F.col("budget_item").isNull() | (F.col("budget_item") == F.col("own")))
-    one = rows.select("row_id", "doc", "page", "target", "pos", "value")
-    return first_sum(one, ("row_id", "doc", "page"), "pos")
+    asked = payable(items).filter(F.col("amount") < COMPONENT_LIMIT).select("row_id", "doc", F.coalesce("budget_item", F.lit(NOBODY)).alias("own"), F.col("amount").cast("double").alias("target"))
+    values = page_amounts.select("doc", "page", "pos", "value", F.col("budget_item").alias("owner"))
+    goal = ["doc", "own", "target"]
+    found = first_sums(asked.select(*goal).distinct(), values, goal, ["page"])
+    met = asked.join(found, goal).select("row_id", "doc", "page", "size", "positions", "values")
+    return met if exclude is None else met.join(exclude.select("row_id", "doc", "page"), ["row_id", "doc", "page"], "left_anti")
+
 
+def cross_page_hits(items: DataFrame, page_amounts: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """(row_id, doc, size, positions, values): the first sum of 2 to 4 pages' largest amounts; positions are pages.
 
-def cross_page_hits(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
-    """(row_id, doc, size, positions, values): the first sum of 2 to 4 pages' largest amounts; positions are pages."""
-    largest = largest_per_page(page_amounts)
-    targets = payable(items).select("row_id", "doc", F.col("amount").cast("double").alias("target"))
-    one = targets.join(largest, "doc").select("row_id", "doc", "target", F.col("page").alias("pos"), "value")
-    return first_sum(one, ("row_id", "doc"), "pos")
+    Pages in closed(row_id, doc, page) don't count.
+    """
+    values = largest_per_page(page_amounts).select("doc", F.col("page").alias("pos"), "value", F.lit(None).cast("string").alias("owner"))
+    goals = payable(items).select("row_id", "doc", F.lit(NOBODY).alias("own"), F.col("amount").cast("double").alias("target"))
+    if closed is not None:
+        goals = goals.join(closed.groupBy("row_id").agg(F.collect_set("page").alias("gone")), "row_id", "left")
+    return first_sums(goals, values, ["row_id", "doc", "own", "target"], []).select("row_id", "doc", "size", "positions", "values")
 
 
 def largest_per_page(page_amounts: DataFrame) -> DataFrame:
@@ -85,39 +82,76 @@ def largest_per_page(page_amounts: DataFrame) -> DataFrame:
     return page_amounts.filter(F.col("value").isNotNull()).groupBy("doc", "page").agg(best).select("doc", "page", F.col("best.value").alias("value"), (-F.col("best.back")).alias("pos"))
 
 
-def first_sum(one: DataFrame, group: tuple[str, ...], pos: str) -> DataFrame:
-    """The first subset of 2 to 4 rows of each group whose values sum to the group's target.
+#: Stands for a missing budget item, which no amount is attributed to.
+NOBODY = "\0"
+
 
-    one: group columns, target, pos, value. Sums are taken in the order of positions, left
-    to right, as doubles. A pair and its remainder meet on the cents of the remainder. The
-    rows are read many times over, so their lineage is cut.
+def pair_sums(values: DataFrame, place: list[str]) -> DataFrame:
+    """(doc, place, p1, p2, v1, v2, owner, cents): the sums of all pairs of a place's values, once for all items; stored.
+
+    values: doc, place, pos, value, owner. A pair belongs to the budget item that either value
+    belongs to; one of two budget items is in no sum, so it isn't listed.
     """
+    a = values.select("doc", *place, F.col("pos").alias("p1"), F.col("value").alias("v1"), F.col("owner").alias("o1"))
+    b = values.select("doc", *place, F.col("pos").alias("p2"), F.col("value").alias("v2"), F.col("owner").alias("o2"))
+    met = a.join(b, ["doc", *place]).filter((F.col("p1") < F.col("p2")) & F.coalesce(F.col("o1") == F.col("o2"), F.lit(True)))
+    return cut(met.select("doc", *place, "p1", "p2", "v1", "v2", F.coalesce("o1", "o2").alias("owner"), cents(F.col("v1") + F.col("v2")).alias("cents")))
+
+
+def first_sums(goals: DataFrame, values: DataFrame, goal: list[str], place: list[str]) -> DataFrame:
+    """(goal, place, size, positions, values): of each goal and place the first 2 to 4 values that sum to the target.
+
+    goals: the columns of goal, among them doc, own and target, and perhaps gone, an array of
+    positions that don't count; values: doc, place, pos, value, owner. Sums are taken in the
+    order of positions, left to right, as doubles; the smallest size, then the first
+    positions win.
+
+    All pairs of values are summed once, whatever the number of goals. Twos meet goals on the
+    cents of the target. Goals without one go on, at places whose values can reach the target: threes
+    and fours meet a pair with a value or a second pair on the cents of what is missing.
+    """
+    values = cut(values)
+    pairs = pair_sums(values, place)
+    key = [*goal, *place]
+    free = lambda owner: F.col(owner).isNull() | (F.col(owner) == F.col("own"))
+
+    def hits(met: DataFrame, n: int) -> DataFrame:
+        total = F.col("v1") + F.col("v2")
+        for i in range(3, n + 1):
+            total = total + F.col(f"v{i}")
+        positions = F.array(*(f"p{i}" for i in range(1, n + 1)))
+        near = met.filter(F.abs(total - F.col("target")) < TOLERANCE)
+        if "gone" in met.columns:
+            near = near.filter(~F.coalesce(F.arrays_overlap(positions, "gone"), F.lit(False)))
+        shown = near.select(*key, F.struct(F.lit(n).alias("size"), positions.alias("positions"), F.array(*(f"v{i}" for i in range(1, n + 1))).alias("values")).alias("hit"))
+        return cut(shown.groupBy(*key).agg(F.min("hit").alias("best")).select(*key, "best.size", "best.positions", "best.values"))
+
+    two = hits(goals.withColumn("cents", nearby(F.col("target"))).join(pairs, ["doc", "cents"]).filter(free("owner")), 2)
+    low, high = F.min("value"), F.max("value")
+    reach = values.groupBy("doc", *place).agg(F.count(F.lit(1)).alias("n"), F.least(3 * low, 4 * low).alias("low"), F.greatest(3 * high, 4 * high).alias("high")).filter("n > 2")
+    able = goals.join(reach, "doc").filter((F.col("target") > F.col("low") - TOLERANCE) & (F.col("target") < F.col("high") + TOLERANCE)).drop("n", "low", "high")
+    able = cut(able.join(two.select(*key), key, "left_anti"))
+    own = pairs.select("doc", *place, "p1", "p2", "v1", "v2", "owner")
+    missing = nearby(F.col("target") - (F.col("v1") + F.col("v2")))
+
+    def begun(rest: DataFrame) -> DataFrame:
+        return rest.join(own, ["doc", *place]).filter(free("owner")).drop("owner").withColumn("cents", missing)
+
+    third = values.select("doc", *place, F.col("pos").alias("p3"), F.col("value").alias("v3"), "owner", cents(F.col("value")).alias("cents"))
+    three = hits(begun(able).join(third, ["doc", *place, "cents"]).filter((F.col("p2") < F.col("p3")) & free("owner")), 3)
+    rest = able.join(three.select(*key), key, "left_anti")
+    later = pairs.select("doc", *place, F.col("p1").alias("p3"), F.col("p2").alias("p4"), F.col("v1").alias("v3"), F.col("v2").alias("v4"), "owner", "cents")
+    four = hits(begun(rest).join(later, ["doc", *place, "cents"]).filter((F.col("p2") < F.col("p3")) & free("owner")), 4)
+    return two.unionByName(three).unionByName(four)
+
+
+def first_sum(one: DataFrame, group: tuple[str, ...], pos: str) -> DataFrame:
+    """(group, size, positions, values): first_sums() of groups with a target and values of their own: group, target, pos, value."""
     g = list(group)
-    one = cut(one)
-    a = one.select(*g, "target", F.col(pos).alias("p1"), F.col("value").alias("v1"))
-    second = one.select(*g, F.col(pos).alias("p2"), F.col("value").alias("v2"), cents(F.col("value")).alias("cents"))
-    # pairs
-    two = a.withColumn("cents", nearby(F.col("target") - F.col("v1"))).join(second, [*g, "cents"]).filter("p1 < p2")
-    two = two.filter(F.abs(F.col("v1") + F.col("v2") - F.col("target")) < TOLERANCE).select(*g, F.lit(2).alias("size"), F.array("p1", "p2").alias("positions"), F.array("v1", "v2").alias("values"))
-    found = cut(_earliest(two, g))
-    rest = one.join(found.select(*g), g, "left_anti")
-    # all ordered pairs of what is not yet found
-    pairs = rest.select(*g, "target", F.col(pos).alias("p1"), F.col("value").alias("v1")).join(rest.select(*g, F.col(pos).alias("p2"), F.col("value").alias("v2")), g).filter("p1 < p2")
-    third = rest.select(*g, F.col(pos).alias("p3"), F.col("value").alias("v3"), cents(F.col("value")).alias("cents"))
-    three = pairs.withColumn("cents", nearby(F.col("target") - (F.col("v1") + F.col("v2")))).join(third, [*g, "cents"]).filter("p2 < p3")
-    three = three.filter(F.abs(F.col("v1") + F.col("v2") + F.col("v3") - F.col("target")) < TOLERANCE).select(*g, F.lit(3).alias("size"), F.array("p1", "p2", "p3").alias("positions"), F.array("v1", "v2", "v3").alias("values"))
-    found3 = cut(_earliest(three, g))
-    open4 = pairs.join(found3.select(*g), g, "left_anti")
-    later = open4.select(*g, F.col("p1").alias("p3"), F.col("v1").alias("v3"), F.col("p2").alias("p4"), F.col("v2").alias("v4"), cents(F.col("v1") + F.col("v2")).alias("cents"))
-    four = open4.withColumn("cents", nearby(F.col("target") - (F.col("v1") + F.col("v2")))).join(later, [*g, "cents"]).filter("p2 < p3")
-    four = four.filter(F.abs(F.col("v1") + F.col("v2") + F.col("v3") + F.col("v4") - F.col("target")) < TOLERANCE)
-    four = four.select(*g, F.lit(4).alias("size"), F.array("p1", "p2", "p3", "p4").alias("positions"), F.array("v1", "v2", "v3", "v4").alias("values"))
-    return found.unionByName(found3).unionByName(_earliest(four, g))
-
-
-def _earliest(hits: DataFrame, group: list[str]) -> DataFrame:
-    best = hits.groupBy(*group).agg(F.min(F.struct("size", "positions", "values")).alias("best"))
-    return best.select(*group, "best.size", "best.positions", "best.values")
+    own = one.withColumn("doc", F.struct(*g))
+    goals = own.select("doc", F.lit(NOBODY).alias("own"), "target").distinct()
+    found = first_sums(goals, own.select("doc", F.col(pos).alias("pos"), "value", F.lit(None).cast("string").alias("owner")), ["doc", "own", "target"], [])
+    return found.select(*(F.col("doc")[c].alias(c) for c in g), "size", "positions", "values")
 
 
 def amount_page_scores(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
@@ -129,20 +163,28 @@ def amount_page_scores(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
     )
 
 
-def amount_candidates(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
-    """M4: the best page of each item; the lowest page on ties."""
+def amount_candidates(items: DataFrame, page_amounts: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """M4: the best page of each item, none of closed(row_id, doc, page); the lowest page on ties."""
     best = F.max(F.struct("score", (-F.col("page")).alias("back"), "strategy", "values")).alias("best")
-    scored = amount_page_scores(items, page_amounts).groupBy("row_id", "doc").agg(best)
+    scored = amount_page_scores(items, page_amounts)
+    if closed is not None:
+        scored = scored.join(closed.select("row_id", "page"), ["row_id", "page"], "left_anti")
+    scored = scored.groupBy("row_id", "doc").agg(best)
     return scored.select("row_id", "doc", (-F.col("best.back")).alias("page"), "best.score", "best.strategy", "best.values")
 
 
-def amount_route(items: DataFrame, page_amounts: DataFrame) -> DataFrame:
-    """M5: (row_id, doc, pages, score, strategy, values): M4, and where it has nothing the cross-page sum (.80)."""
-    same = cut(amount_candidates(items, page_amounts))
+def amount_route(items: DataFrame, page_amounts: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """M5: (row_id, doc, pages, score, strategy, evidence): M4, and where it has nothing the cross-page sum (.80).
+
+    evidence: the amounts that were found, each with its page, in the order of the sum.
+    """
+    same = cut(amount_candidates(items, page_amounts, closed))
     rest = items.join(same.select("row_id"), "row_id", "left_anti")
-    cross = cross_page_hits(rest, page_amounts)
-    return same.select("row_id", "doc", F.array("page").alias("pages"), "score", "strategy", "values").unionByName(
-        cross.select("row_id", "doc", F.array_sort("positions").alias("pages"), F.lit(0.80).alias("score"), F.lit("cross-page").alias("strategy"), "values")
+    cross = cross_page_hits(rest, page_amounts, closed)
+    there = F.transform("values", lambda v: F.struct(F.col("page").cast("int").alias("page"), v.alias("value")))
+    across = F.zip_with("positions", "values", lambda p, v: F.struct(p.cast("int").alias("page"), v.alias("value")))
+    return same.select("row_id", "doc", F.array("page").alias("pages"), "score", "strategy", there.alias("evidence")).unionByName(
+        cross.select("row_id", "doc", F.array_sort("positions").alias("pages"), F.lit(0.80).alias("score"), F.lit("cross-page").alias("strategy"), across.alias("evidence"))
     )
 
 
@@ -152,8 +194,26 @@ def page_offsets(files: DataFrame) -> DataFrame:
     return files.withColumn("page_offset", F.coalesce(F.sum("page_count").over(earlier), F.lit(0)))
 
 
+#: Pages of a document that are placed together.
+STRETCH = 1024
+
+
 def resolve_pages(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """refs(doc, page, ...) with path and local page, null beyond the files: offset < page <= offset + count."""
-    placed = files.select(F.col("doc").alias("d"), "path", "page_count", "page_offset")
-    inside = (F.col("doc") == F.col("d")) & (F.col("page") > F.col("page_offset")) & (F.col("page") <= F.col("page_offset") + F.col("page_count"))
-    return refs.join(placed, inside, "left").withColumn("local_page", F.col("page") - F.col("page_offset")).drop("d", "page_count", "page_offset")
+    """refs(doc, page, ...) with path and local page, null beyond the files: offset < page <= offset + count.
+
+    As-of: files and references are put in one order by page, and each reference looks back to
+    the last file that begins before it. A document is cut into stretches of STRETCH pages, and
+    a file stands in each stretch it reaches, so no document is one key. Files without pages
+    hold nothing.
+    """
+    stretch = lambda page: F.floor(page / STRETCH).cast("long")
+    at, end = F.col("page_offset").cast("long"), (F.col("page_offset") + F.col("page_count")).cast("long")
+    begin = files.filter("page_count > 0").select(F.col("doc").alias("_doc"), F.explode(F.sequence(stretch(at), stretch(end))).alias("_stretch"), at.alias("_at"), F.struct("path", "page_count", "page_offset").alias("_file"), F.lit(None).cast(refs.schema.simpleString()).alias("_ref"))
+    page = F.col("page").cast("long")
+    asked = refs.select(F.col("doc").alias("_doc"), stretch(page).alias("_stretch"), page.alias("_at"), F.lit(None).cast(begin.schema["_file"].dataType).alias("_file"), F.struct(*refs.columns).alias("_ref"))
+    # the page that a file's offset names is the last of the file before, so references go first on ties
+    back = Window.partitionBy("_doc", "_stretch").orderBy("_at", F.col("_ref").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = begin.union(asked).withColumn("_file", F.last("_file", ignorenulls=True).over(back)).filter("_ref IS NOT NULL")
+    inside = (F.col("_at") > F.col("_file.page_offset")) & (F.col("_at") <= F.col("_file.page_offset") + F.col("_file.page_count"))
+    found = met.withColumn("_file", F.when(inside, F.col("_file")))
+    return found.select("_ref.*", F.col("_file.path").alias("path"), (F.col("_ref.page") - F.col("_file.page_offset")).alias("local_page"))

@@ -13,6 +13,8 @@ from tallyforge.plans.reconcile import reconcile
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import budget, pick, view, with_views
 from tallyforge.sources import readers, sinks
+from tallyforge.streaming.incremental import IncrementalRun
+from tallyforge.streaming.trigger import on_upload
 
 _NORM = Q._NORM
 
@@ -136,37 +138,57 @@ def edits_round_trip(spark, d):
     return both.select(F.explode("overrides").alias("row_id", "v")).select("row_id", "v.doc_id", F.array_join("v.page_numbers", ",").alias("pages"))
 
 
-_FILES = ("Salary/jan + feb.pdf", "Salary/Mar.pdf", "salary.pdf", "Supplies.pdf", "Utilities.PDF", "indirect costs/x y.pdf", "Indirect_Costs.pdf", "Other/deep/z.pdf", "notes.txt", "Unknown.pdf")
-_FOUND = (("Salary", "salary__jan_feb", "Salary/jan + feb.pdf"), ("Salary", "salary__mar", "Salary/Mar.pdf"), ("Supplies", "supplies", "Supplies.pdf"), ("Indirect Costs", "indirect_costs__x_y", "indirect costs/x y.pdf"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{i}', '{p}', true)" for b, i, p in _FOUND) + ") t(budget_item, doc_id, path, full_path)")
+@query("""WITH b AS (SELECT DISTINCT o_custkey % 12 AS k FROM orders), n AS (SELECT k, CASE k WHEN 0 THEN 'Salary' WHEN 1 THEN 'Supplies' WHEN 2 THEN 'indirect costs' WHEN 3 THEN 'Unknown' WHEN 4 THEN 'Other' ELSE 'notes' END AS folder FROM b),
+    f AS (SELECT DISTINCT folder, CASE folder WHEN 'Salary' THEN 'Salary' WHEN 'Supplies' THEN 'Supplies' WHEN 'indirect costs' THEN 'Indirect Costs' WHEN 'Other' THEN 'Other' END AS budget_item FROM n)
+    SELECT budget_item, trim(regexp_replace(lower(budget_item), '[^a-z0-9]+', '_', 'g'), '_') AS slug, folder, true AS full_path FROM f WHERE budget_item IS NOT NULL""")
 def key_discovery(spark, d):
-    """Files under a folder, listed by Spark, with their full paths."""
+    """PDF listings under a folder: Spark writes a file for each folder name that the orders give; their full paths come with them."""
     folder = scratch(spark, "uploads")
-    jvm = spark.sparkContext._jvm
-    for name in _FILES:
-        place = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
-        out.write(37)
-        out.close()
-    return readers.discovered_order(readers.discovered_in(spark, folder)).select("budget_item", "doc_id", "path", F.col("uri").startswith("file:/").alias("full_path"))
-
-
-_ASKED = "(VALUES (1, 1), (1, 3), (2, 2), (4, 5), (7, 1000)) a(doc, page)"
-
-
-@query(with_views("files") + f""", o AS (SELECT *, coalesce(sum(page_count) OVER (PARTITION BY doc ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM files)
-    SELECT a.doc::VARCHAR AS doc, a.page, path AS doc_id, (a.page - off)::INT AS page_number FROM {_ASKED} JOIN o ON o.doc = a.doc AND a.page > off AND a.page <= off + page_count""")
+    name = lambda k: F.when(k == 0, "Salary").when(k == 1, "Supplies").when(k == 2, "indirect costs").when(k == 3, "Unknown").when(k == 4, "Other").otherwise("notes")
+    rows = _table(spark, d, "orders").select(name(F.col("o_custkey") % 12).alias("folder"), F.col("o_orderkey").cast("string").alias("value"))
+    for (one,) in sorted(rows.select("folder").distinct().collect()):
+        sinks.write_named(rows.filter(F.col("folder") == one).select("value"), f"{folder}/{one}", "orders.pdf")
+    found = readers.discovered_in(spark, folder)
+    return found.select("budget_item", F.substring_index("doc_id", "__", 1).alias("slug"), F.substring_index("path", "/", 1).alias("folder"), F.col("uri").startswith("file:/").alias("full_path"))
+
+
+@query("SELECT s_nationkey AS nation, true AS relative, true AS has_bytes, count(*)::BIGINT AS suppliers FROM supplier GROUP BY s_nationkey")
+def key_listing(spark, d):
+    """Keys under a folder that Spark wrote, one file for each nation, by suffix; other files there don't fit it."""
+    folder = scratch(spark, "keys")
+    rows = _table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    rows.repartition("nation").write.partitionBy("nation").json(folder)
+    rows.repartition("nation").write.mode("append").partitionBy("nation").parquet(folder)
+    keys = readers.list_keys(spark, folder, "*.json").select("path", F.regexp_extract("key", "^nation=([0-9]+)/[^/]+[.]json$", 1).cast("int").alias("nation"), "length")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"))
+    held = lines.groupBy("path").agg(F.count(F.lit(1)).alias("suppliers"))
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    met = keys.withColumn("path", plain).join(held.withColumn("path", plain), "path")
+    return met.select("nation", F.col("nation").isNotNull().alias("relative"), (F.col("length") > 0).alias("has_bytes"), "suppliers")
+
+
+@query(with_views("items") + "SELECT row_id, row_index::INT AS row_index, budget_item, CAST(amount AS DECIMAL(18,2))::VARCHAR AS amount, first_name, last_name, explanation, doc::VARCHAR AS raw_doc FROM items")
+def line_items_json(spark, d):
+    """Line items written as JSON and read again with their schema; fields that the file lacks are null."""
+    path = scratch(spark, "line-items")
+    items = view(spark, d, "items")
+    raw = F.create_map(F.lit("doc"), F.col("doc").cast("string"))
+    items.select("row_id", F.col("row_index").cast("int").alias("row_index"), "budget_item", F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("first_name").alias("employee_first_name"), F.col("last_name").alias("employee_last_name"), "explanation", raw.alias("raw")).write.json(path)
+    read = readers.read_line_items(spark, path).filter("hourly_rate IS NULL AND employee_title IS NULL")
+    return read.select("row_id", "row_index", "budget_item", F.col("amount").cast("string").alias("amount"), F.col("employee_first_name").alias("first_name"), F.col("employee_last_name").alias("last_name"), "explanation", F.col("raw")["doc"].alias("raw_doc"))
+
+
+@query(with_views("files") + """, o AS (SELECT *, coalesce(sum(page_count) OVER (PARTITION BY doc ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM files),
+    a AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'f' || o_orderkey ELSE o_custkey::VARCHAR END AS doc, (o_orderkey % 11)::INT AS page FROM orders)
+    SELECT a.doc, a.page, a.doc AS doc_id, a.page AS page_number FROM a JOIN files f ON f.path = a.doc AND a.page BETWEEN 1 AND f.page_count
+    UNION ALL SELECT a.doc, a.page, path, (a.page - off)::INT FROM a JOIN o ON o.doc::VARCHAR = a.doc AND a.page > off AND a.page <= off + page_count""")
 def virtual_page_load(spark, d):
-    """Single pages, through the offsets of their document's files."""
-    files = view(spark, d, "files")
+    """Single pages: a file's own, and through the offsets of a document's files."""
+    files = view(spark, d, "files").withColumn("doc", F.col("doc").cast("string"))
     pages = files.select(F.col("path").alias("doc_id"), F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number"))
-    found = None
-    for doc, page in ((1, 1), (1, 3), (2, 2), (4, 5), (7, 1000)):
-        one = readers.single_page(pages, files.withColumn("doc", F.col("doc").cast("string")), str(doc), page).select(F.lit(str(doc)).alias("doc"), F.lit(page).alias("page"), "doc_id", "page_number")
-        found = one if found is None else found.unionByName(one)
-    return found
+    key = F.col("o_orderkey")
+    refs = _table(spark, d, "orders").select(F.when(key % 5 == 0, F.concat(F.lit("f"), key.cast("string"))).otherwise(F.col("o_custkey").cast("string")).alias("doc"), (key % 11).cast("int").alias("page"))
+    return readers.load_pages(pages, files, refs)
 
 
 _EV, _TG, _DONE = Q._EV, Q._TG, Q._DONE
@@ -462,11 +484,11 @@ def sub_items_as_items(spark, d):
 
 # overlays
 
-_EDITS = "e AS (SELECT user_id % 500 AS r, (event_id % 4)::INT AS idx, CASE WHEN event_type IN ('purchase', 'signup') THEN 'remove' ELSE 'add' END AS op, (event_id % 7 + 1)::INT AS page, event_id AS seq FROM events)"
+_EDITS = "e AS (SELECT user_id AS r, (event_id % 4)::INT AS idx, CASE WHEN event_type IN ('purchase', 'signup') THEN 'remove' ELSE 'add' END AS op, (event_id % 7 + 1)::INT AS page, event_id AS seq FROM events)"
 
 
 @query(f"""WITH {_EDITS}, l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY r, idx, page ORDER BY seq DESC) = 1),
-    c AS (SELECT c_custkey % 500 AS r, idx, 0.5::DOUBLE AS score FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey < 500), (SELECT unnest([0, 1]) AS idx) WHERE c_custkey % 3 > 0),
+    c AS (SELECT c_custkey AS r, idx, 0.5::DOUBLE AS score FROM (SELECT DISTINCT c_custkey FROM customer), (SELECT unnest([0, 1]) AS idx)),
     p AS (SELECT r, idx, page FROM c, (SELECT unnest([1, 2]) AS page) UNION SELECT l.r, l.idx, page FROM l JOIN c ON c.r = l.r AND c.idx = l.idx WHERE op = 'add'),
     k AS (SELECT p.* FROM p LEFT JOIN l ON l.r = p.r AND l.idx = p.idx AND l.page = p.page WHERE coalesce(l.op, 'add') = 'add'),
     g AS (SELECT r, idx, array_to_string(list_sort(list(page)), ',') AS pages, 0.5::DOUBLE AS score FROM k GROUP BY r, idx)
@@ -475,8 +497,8 @@ def page_edits(spark, d):
     """Adds and removes; pages added where there is no candidate make a manual one."""
     key = lambda c: F.concat(F.lit("row_"), c.cast("string")).alias("row_id")
     events = _table(spark, d, "events")
-    log = events.select(key(F.col("user_id") % 500), (F.col("event_id") % 4).cast("int").alias("idx"), F.when(F.col("event_type").isin("purchase", "signup"), "remove").otherwise("add").alias("op"), (F.col("event_id") % 7 + 1).cast("int").alias("page"), F.col("event_id").alias("seq"))
-    rows = _table(spark, d, "customer").filter("c_custkey < 500 AND c_custkey % 3 > 0").select("c_custkey").distinct()
+    log = events.select(key(F.col("user_id")), (F.col("event_id") % 4).cast("int").alias("idx"), F.when(F.col("event_type").isin("purchase", "signup"), "remove").otherwise("add").alias("op"), (F.col("event_id") % 7 + 1).cast("int").alias("page"), F.col("event_id").alias("seq"))
+    rows = _table(spark, d, "customer").select("c_custkey").distinct()
     made = rows.select(key(F.col("c_custkey")), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.array(F.lit(1), F.lit(2)).alias("pages"), F.lit(0.5).alias("score"))
     return overlays.edit_pages(made, log).select("row_id", "idx", F.array_join("pages", ",").alias("pages"), "score")
 
@@ -535,6 +557,20 @@ def live_cache(spark, d):
 
 # runs
 
+@query(f"{Q._M14} SELECT row_id, doc, ordinal, {Q.joined('pages')} AS pages, round(score, 6) AS score, strategy, rank FROM m14")
+def incremental_run(spark, d):
+    """Two uploads, the second of what was missing or wrong in the first, end where a full run does."""
+    folder = scratch(spark, "incremental")
+    pages, n = Q._pages_of_run(spark, d).select("doc", "page", "text", "entities"), F.col("doc")
+    early = F.transform("entities.amounts", lambda a: a.withField("value", a["value"] + 1))
+    first = pages.filter((n % 5 > 0) | (F.col("page") == 1)).withColumn("entities", F.when(n % 7 == 0, F.col("entities").withField("amounts", early)).otherwise(F.col("entities")))
+    run = IncrementalRun(f"{folder}/store", view(spark, d, "items"), view(spark, d, "page_words"))
+    for batch in (first, pages.filter((n % 5 == 0) | (n % 7 == 0))):
+        batch.write.mode("append").json(f"{folder}/in")
+        on_upload(spark, f"{folder}/in", run, f"{folder}/checkpoint", pages.schema).awaitTermination()
+    return run.candidates(spark).select("row_id", "doc", "ordinal", F.array_join("pages", ",").alias("pages"), F.round("score", 6).alias("score"), "strategy", "rank")
+
+
 @query(f"""{Q._M14}, ok AS (SELECT * FROM m14 WHERE score >= 0.1), sl0 AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY rank) = 1)
     SELECT i.row_id, i.doc AS doc_id, coalesce({Q.joined('s.pages')}, '') AS pages, 'auto' AS selection_source FROM items i LEFT JOIN sl0 s ON s.row_id = i.row_id""")
 def reconciled_selection(spark, d):
@@ -544,21 +580,31 @@ def reconciled_selection(spark, d):
 
 
 @query(f"""{Q._M14}, ok AS (SELECT * FROM m14 WHERE score >= 0.1), jb AS (SELECT i.*, (doc % 10)::BIGINT AS job_id FROM items i)
-    SELECT job_id, count(*) AS items, count(DISTINCT doc) AS documents, md5(string_agg(row_id, ',' ORDER BY row_index)) AS rows_md5, count(*) FILTER (amount = 0 OR amount IS NULL) AS null_amounts, round(sum(amount), 2) AS amount, (sum(coalesce(n, 0)))::BIGINT AS candidates, (count(DISTINCT budget_item) + count(DISTINCT CASE WHEN budget_item IN ('Salary', 'Fringe') THEN budget_item || first_name || coalesce(last_name, '') END))::BIGINT AS groups
-    FROM jb LEFT JOIN (SELECT row_id, count(*) AS n FROM ok GROUP BY row_id) c USING (row_id) GROUP BY job_id""")
+    , sm AS (SELECT * FROM ok WHERE strategy IN ('component', 'cross-page')),
+    sv AS (SELECT sm.row_id, ordinal, c.size, p.value, p.pos AS place, p.page FROM sm JOIN component c ON c.row_id = sm.row_id AND c.page = sm.pages[1] JOIN page_amounts p ON p.doc = sm.doc AND p.page = c.page AND list_contains(c.positions, p.pos) WHERE strategy = 'component'
+        UNION ALL SELECT sm.row_id, ordinal, len(pages), l.value, l.page, l.page FROM sm JOIN largest l ON l.doc = sm.doc AND list_contains(sm.pages, l.page) WHERE strategy = 'cross-page'),
+    wh AS (SELECT row_id, string_agg(printf('$%.2f', value), ' + ' ORDER BY place) AS said, string_agg(printf('$%.2f (p%d)', value, page), ' + ' ORDER BY place) AS across FROM sv GROUP BY row_id),
+    wj AS (SELECT job_id, md5(string_agg(CASE WHEN strategy = 'component' THEN said ELSE across END, ',' ORDER BY row_index)) AS sums_md5 FROM wh JOIN sm USING (row_id) JOIN jb USING (row_id) GROUP BY job_id),
+    pw0 AS (SELECT (doc % 10)::BIGINT AS job_id, count(*) AS n FROM page_words WHERE doc IN (SELECT doc FROM items) GROUP BY 1)
+    SELECT jb.job_id, any_value(sums_md5) AS sums_md5, any_value(pw0.n) AS words, count(*) AS items, count(DISTINCT doc) AS documents, md5(string_agg(row_id, ',' ORDER BY row_index)) AS rows_md5, count(*) FILTER (amount = 0 OR amount IS NULL) AS null_amounts, round(sum(amount), 2) AS amount, (sum(coalesce(c.n, 0)))::BIGINT AS candidates, (count(DISTINCT budget_item) + count(DISTINCT CASE WHEN budget_item IN ('Salary', 'Fringe') THEN budget_item || first_name || coalesce(last_name, '') END))::BIGINT AS groups
+    FROM jb LEFT JOIN (SELECT row_id, count(*) AS n FROM ok GROUP BY row_id) c USING (row_id) LEFT JOIN wj ON wj.job_id = jb.job_id LEFT JOIN pw0 ON pw0.job_id = jb.job_id GROUP BY jb.job_id""")
 def reconciliation_document(spark, d):
-    """K1 with P35: each job's JSON, read again."""
+    """K1 with P35: each job's JSON, read again; sums_md5 is of the amounts that summed candidates name in their rationale."""
     items = Q._items_of_run(spark, d).withColumn("job_id", F.col("doc") % 10)
     jobs = items.select("job_id").distinct().withColumn("inputs", F.struct(F.lit("x.csv").alias("csv_path")))
     made = reconcile(items, Q._pages_of_run(spark, d), view(spark, d, "page_words"), jobs=jobs).documents
-    part = "struct<row_id:string,row_index:long,normalized:struct<amount:double>,candidates:array<struct<rank:int>>,selected_evidence:struct<selection_source:string>>"
-    read = made.select("job_id", F.from_json("value", f"struct<job:struct<job_id:long>,documents:array<struct<doc_id:long,page_count:int>>,navigation_groups:array<struct<group_id:string>>,line_items:array<{part}>>").alias("v"))
+    part = "struct<row_id:string,row_index:long,normalized:struct<amount:double>,candidates:array<struct<rank:int,strategy:string,rationale:array<string>>>,selected_evidence:struct<selection_source:string>>"
+    read = made.select("job_id", F.from_json("value", f"struct<job:struct<job_id:long>,documents:array<struct<doc_id:long,page_count:int,pages_data:map<string,struct<words:array<struct<text:string>>>>>>,navigation_groups:array<struct<group_id:string>>,line_items:array<{part}>>").alias("v"))
     amounts = F.transform("v.line_items", lambda x: x["normalized"]["amount"])
     count = lambda c: F.size(c).cast("long")
+    sums = F.filter(F.flatten(F.transform("v.line_items", lambda x: x["candidates"])), lambda c: c["strategy"].isin("component", "cross-page"))
+    summed = F.transform(sums, lambda c: F.regexp_extract(c["rationale"][1], "^[^:]+: (.*) = ", 1))
     return read.select(
         F.col("v.job.job_id").alias("job_id"),
         count("v.line_items").alias("items"),
         count("v.documents").alias("documents"),
+        F.aggregate("v.documents", F.lit(0).cast("long"), lambda a, x: a + F.aggregate(F.map_values(x["pages_data"]), F.lit(0).cast("long"), lambda b, p: b + F.size(p["words"]))).alias("words"),
+        F.md5(F.array_join(summed, ",")).alias("sums_md5"),
         F.md5(F.array_join(F.transform("v.line_items", lambda x: x["row_id"]), ",")).alias("rows_md5"),
         count(F.filter(amounts, lambda x: x.isNull())).alias("null_amounts"),
         F.round(F.aggregate(F.filter(amounts, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 2).alias("amount"),
@@ -567,15 +613,22 @@ def reconciliation_document(spark, d):
     )
 
 
-@query(f"""{Q._M14}, ok AS (SELECT row_id, doc, ordinal, unnest(pages) AS page FROM m14 WHERE score >= 0.1),
-    tm AS (SELECT DISTINCT row_id, doc, unnest({_TERMS}) AS term FROM (SELECT *, {Q._VARIANTS} AS v FROM items)),
+def _amount_terms(x: str) -> str:
+    return f"[{x}::VARCHAR, '$' || {x}::VARCHAR, format('{{:,.2f}}', {x}), '$' || format('{{:,.2f}}', {x})]"
+
+
+@query(f"""{Q._M14}, ok AS (SELECT row_id, doc, ordinal, strategy, unnest(pages) AS page FROM m14 WHERE score >= 0.1),
+    tm AS (SELECT DISTINCT ok.row_id, ok.doc, ordinal, page, unnest({_TERMS}) AS term FROM ok JOIN (SELECT *, {Q._VARIANTS} AS v FROM items) i USING (row_id) WHERE strategy NOT IN ('exact', 'component', 'cross-page')
+        UNION SELECT ok.row_id, ok.doc, ordinal, page, unnest({_amount_terms('i.amount')}) FROM ok JOIN items i USING (row_id) WHERE strategy = 'exact'
+        UNION SELECT ok.row_id, ok.doc, ordinal, ok.page, unnest({_amount_terms('p.value')}) FROM ok JOIN component c ON c.row_id = ok.row_id AND c.page = ok.page JOIN page_amounts p ON p.doc = ok.doc AND p.page = ok.page AND list_contains(c.positions, p.pos) WHERE strategy = 'component'
+        UNION SELECT ok.row_id, ok.doc, ordinal, ok.page, unnest({_amount_terms('l.value')}) FROM ok JOIN largest l ON l.doc = ok.doc AND l.page = ok.page WHERE strategy = 'cross-page'),
     nt AS (SELECT *, string_split({_NORM.format('term')}, ' ') AS w FROM tm),
     pq AS (SELECT doc, page, pos, w, lead(w) OVER o AS w2 FROM (SELECT doc, page, pos, {_NORM.format('text')} AS w FROM page_words) WINDOW o AS (PARTITION BY doc, page ORDER BY pos)),
-    h1 AS (SELECT n.row_id, ok.ordinal, ok.page, pq.pos FROM nt n JOIN ok USING (row_id) JOIN pq ON pq.doc = ok.doc AND pq.page = ok.page AND len(n.w) = 1 AND n.w[1] <> '' AND pq.w = n.w[1]),
-    h2 AS (SELECT n.row_id, ok.ordinal, ok.page, min(pq.pos) AS pos FROM nt n JOIN ok USING (row_id) JOIN pq ON pq.doc = ok.doc AND pq.page = ok.page AND len(n.w) = 2 AND pq.w = n.w[1] AND pq.w2 = n.w[2] GROUP BY n.row_id, ok.ordinal, ok.page, n.term)
+    h1 AS (SELECT n.row_id, n.ordinal, n.page, pq.pos FROM nt n JOIN pq ON pq.doc = n.doc AND pq.page = n.page AND len(n.w) = 1 AND n.w[1] <> '' AND pq.w = n.w[1]),
+    h2 AS (SELECT n.row_id, n.ordinal, n.page, min(pq.pos) AS pos FROM nt n JOIN pq ON pq.doc = n.doc AND pq.page = n.page AND len(n.w) = 2 AND pq.w = n.w[1] AND pq.w2 = n.w[2] GROUP BY n.row_id, n.ordinal, n.page, n.term)
     SELECT row_id, ordinal, page, array_to_string(list_sort(list(pos)), ',') AS places FROM (SELECT row_id, ordinal, page, pos, 1 AS k FROM h1 UNION SELECT row_id, ordinal, page, pos, 2 FROM h2) GROUP BY row_id, ordinal, page""")
 def run_highlights(spark, d):
-    """M7 on a run's candidates: all boxes of single words, the first of phrases."""
+    """M7 on a run's candidates: all boxes of single words, the first of phrases; amounts that were summed where a sum was found."""
     run = reconcile(Q._items_of_run(spark, d), Q._pages_of_run(spark, d), view(spark, d, "page_words"))
     return run.highlights.select("row_id", "ordinal", "page", F.array_join(F.transform("boxes", lambda b: b["pos"]), ",").alias("places"))
 

@@ -490,14 +490,14 @@ _SI = f"""{with_views("items", "page_texts", "page_amounts")},
     ht AS (SELECT row_id, ordinal, count(*) AS hits FROM (SELECT row_id, doc, ordinal, unnest(pages) AS page FROM kept) k JOIN hp USING (doc, page) GROUP BY row_id, ordinal),
     fl AS (SELECT kept.* FROM kept LEFT JOIN ht USING (row_id, ordinal) WHERE doc NOT IN (SELECT doc FROM ft) OR (score >= 0.90 AND len(pages) = 1 AND strategy = 'exact') OR coalesce(hits, 0) >= CASE WHEN len(pages) > 3 THEN 2 ELSE 1 END),
     cv AS (SELECT DISTINCT row_id, unnest(pages) AS page FROM fl WHERE score >= 0.80),
-    ls AS (SELECT parent AS row_id, si.doc, sa.page FROM si JOIN sa ON sa.doc = si.doc AND abs(sa.value - si.amount) < 0.005 UNION SELECT parent, si.doc, sp.page FROM si JOIN sp ON sp.doc = si.doc AND contains(lower(sp.text), printf('%.2f', si.amount))),
+    ls AS (SELECT parent AS row_id, si.doc, sa.page FROM si JOIN sa ON sa.doc = si.doc AND abs(sa.value - si.amount) < 0.005 UNION SELECT parent, si.doc, sp.page FROM si JOIN sp ON sp.doc = si.doc AND (contains(lower(sp.text), printf('%.2f', si.amount)) OR (si.amount = floor(si.amount) AND regexp_matches(sp.text, '\\$\\s*' || floor(si.amount)::BIGINT || '([^.0-9]|$)')))),
     bo AS (SELECT ls.* FROM ls JOIN hp ON hp.doc = ls.doc AND hp.page = ls.page WHERE NOT EXISTS (SELECT 1 FROM cv WHERE cv.row_id = ls.row_id AND cv.page = ls.page)),
     fi AS (SELECT row_id, doc, (-1000000 + page)::INT AS ordinal, [page] AS pages, 0.95e0 AS score, 'combined' AS strategy FROM bo UNION ALL SELECT * FROM fl WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.row_id = fl.row_id AND list_contains(fl.pages, bo.page))),
     fd AS (SELECT *, row_number() OVER (PARTITION BY row_id, list_sort(pages) ORDER BY score DESC, ordinal) AS n FROM fi),
     rk AS (SELECT *, (row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ordinal))::INT AS rank FROM fd WHERE n = 1)"""
 
 
-# texts of pages hold no amounts, so the rule for whole dollars (J17) has nothing to find in them
+# texts of pages show amounts, whole dollars and totals that no entity has
 @query(f"{_SI} SELECT row_id, {joined('pages')} AS pages, round(score, 6) AS score, strategy, rank, rank = 1 AND score >= 0.5 AS selected FROM rk")
 def sub_item_match(spark, d):
     items = view(spark, d, "items").filter("amount > 0")
@@ -618,10 +618,10 @@ def navigation_groups(spark, d):
     return groups.select("group_id", "label", "employee_key", F.md5(F.array_join("row_ids", ",")).alias("ids_md5"), "place")
 
 
-@query(f"""{_RV}, dc AS (SELECT 'd' || c_custkey AS doc_id, (c_custkey % 9)::INT AS page_count FROM customer WHERE c_custkey % 10 <> 0)
+@query(f"""{_RV}, dc AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'x' ELSE 'd' END || c_custkey AS doc_id, (c_custkey % 9)::INT AS page_count FROM customer)
     SELECT row_id, r.doc_id, page::INT AS page, coalesce(page_count, 0) AS page_count FROM (SELECT row_id, doc_id, unnest(range(1, n_pages + 1)) AS page FROM reviewed) r LEFT JOIN dc ON dc.doc_id = r.doc_id WHERE page > coalesce(page_count, 0)""")
 def validate_pages(spark, d):
-    docs = spark.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 10 <> 0").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doc_id"), (F.col("c_custkey") % 9).cast("int").alias("page_count"))
+    docs = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.when(F.col("c_custkey") % 10 == 0, "x").otherwise("d"), F.col("c_custkey").cast("string")).alias("doc_id"), (F.col("c_custkey") % 9).cast("int").alias("page_count"))
     return review.invalid_pages(_reviewed(spark, d), docs)
 
 
@@ -670,7 +670,8 @@ def upsert_latest(spark, d):
 def cache_invalidation(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     current = docs.select("doc_id", text.content_hash(F.col("text")).alias("text_sha256"))
-    stored = current.filter("doc_id % 10 <> 3").withColumn("text_sha256", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("text_sha256")))
+    # of a tenth another document is stored
+    stored = current.withColumn("doc_id", F.when(F.col("doc_id") % 10 == 3, -F.col("doc_id")).otherwise(F.col("doc_id"))).withColumn("text_sha256", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("text_sha256")))
     return overlays.stale(current, stored, ["doc_id"], "text_sha256")
 
 

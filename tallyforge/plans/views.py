@@ -32,12 +32,13 @@ VIEWS = {
         SELECT o_custkey AS doc, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) AS INT) AS page,
             CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS INT) AS pos,
             floor(l_extendedprice * 10) / 100 AS value, CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_suppkey % 3 = 1 THEN {budget('o_custkey')} ELSE {budget('l_suppkey')} END AS budget_item,
-            l_orderkey AS orderkey, l_partkey AS partkey, CAST(l_linenumber AS INT) AS line_number
+            l_orderkey AS orderkey, l_partkey AS partkey, CAST(l_linenumber AS INT) AS line_number, o_totalprice AS total
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "page_texts": f"""
-        SELECT doc, page, min(orderkey) AS orderkey, string_agg(p_name, ' ' ORDER BY pos) AS text,
+        SELECT doc, page, min(orderkey) AS orderkey, string_agg(said, ' ' ORDER BY pos) AS text,
             {pick('min(orderkey)', vocab.DOC_TYPES)} AS doc_type, max(CASE WHEN pos = 0 THEN p_brand END) AS brand
-        FROM page_amounts JOIN part ON partkey = p_partkey GROUP BY doc, page""",
+        FROM (SELECT a.*, p_brand, concat(p_name, CASE WHEN page % 3 = 0 THEN concat(' ', CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR(20))) WHEN page % 3 = 1 AND pos = 0 THEN concat(' $', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20)))
+            WHEN pos = 0 THEN concat(' ', CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR(20))) ELSE '' END) AS said FROM page_amounts a JOIN part ON partkey = p_partkey) s GROUP BY doc, page""",
     "page_people": f"""
         SELECT doc, page, CASE WHEN page % 2 = 1 THEN {pick('doc', PAGE_FIRST)} END AS first_name, CASE WHEN page % 2 = 1 THEN {pick('(doc + page * 3 - 3)', LAST)} END AS last_name FROM page_texts""",
     "page_word_texts": """

@@ -170,15 +170,26 @@ def read_edits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EDITS).option("multiLine", True).json(path)
 
 
-def single_page(pages: DataFrame, files: DataFrame, doc: str, page: int) -> DataFrame:
-    """One virtual page: the document's own, else through the offsets of its physical files."""
+def load_pages(pages: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+    """refs(doc, page) with the stored page they name: the document's own, else through the offsets of its physical files.
+
+    pages: doc_id, page_number, ...; files: doc, path, page_count. A reference that names no page is
+    left out, and one that is repeated comes once.
+    """
     from tallyforge.operators.amounts import page_offsets, resolve_pages
 
-    spark = pages.sparkSession
-    direct = pages.filter((F.col("doc_id") == doc) & (F.col("page_number") == page))
-    asked = spark.createDataFrame([(doc, page)], "doc string, page int")
-    place = resolve_pages(asked, page_offsets(files)).select(F.col("path").alias("doc_id"), F.col("local_page").alias("page_number"))
-    return direct.unionByName(pages.join(place, ["doc_id", "page_number"]).select(*pages.columns)).limit(1)
+    asked = refs.select("doc", "page").distinct()
+    own = [c for c in pages.columns if c not in ("doc", "page")]
+    direct = asked.join(pages.select(*own), (F.col("doc") == F.col("doc_id")) & (F.col("page") == F.col("page_number")))
+    rest = asked.join(direct.select("doc", "page"), ["doc", "page"], "left_anti")
+    placed = resolve_pages(rest, page_offsets(files)).filter("path IS NOT NULL").select("doc", "page", F.col("path").alias("doc_id"), F.col("local_page").cast("int").alias("page_number"))
+    return direct.select("doc", "page", *own).unionByName(placed.join(pages.select(*own), ["doc_id", "page_number"]).select("doc", "page", *own))
+
+
+def single_page(pages: DataFrame, files: DataFrame, doc: str, page: int) -> DataFrame:
+    """One virtual page."""
+    asked = pages.sparkSession.createDataFrame([(doc, page)], "doc string, page int")
+    return load_pages(pages, files, asked).select(*pages.columns).limit(1)
 
 
 class Extractor(Protocol):

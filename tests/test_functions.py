@@ -78,6 +78,7 @@ def test_token_in_page(of, token, page, want):
 
 def test_keywords(of):
     assert of(text.context_keywords(F.lit("T-Mobile and AT&T for PP21 telecommunications"), F.lit("Telecommunications"))) == ["tmobile", "att", "pp21"]
+    assert of(text.context_keywords(F.lit("fees have been paid"), F.lit("Other"))) == ["fees", "paid"]
     assert of(text.manual_keywords(F.lit(" a, ,b ,"))) == ["a", "b"]
     assert of(text.search_words(F.lit("The, x, que "))) == ["the", "que"]
     assert of(text.add_keyword(F.array(F.lit("a")), F.lit(" B "))) == ["a", "b"]

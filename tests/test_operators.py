@@ -1,12 +1,14 @@
 """Matching, tables, sub-items, review and sources on small fixtures."""
 
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import amounts, candidates, overlays, review, scoring, subitems, tables
+from tallyforge.functions import text
+from tallyforge.operators import amounts, candidates, containment, overlays, review, scoring, subitems, tables
 from tallyforge.sources import readers, sinks
 from tallyforge.streaming.trigger import on_upload
 
@@ -233,6 +235,132 @@ def test_reconcile(spark):
     got = {r["row_id"]: (r["doc_id"], r["pages"], r["selection_source"]) for r in done.selected.collect()}
     assert got == {"r0": ("d", [2], "auto"), "r1": ("d", [1], "user"), "r2": (None, [], "auto")}
     assert {r["group_id"] for r in done.navigation.collect()} == {"supplies", "salary", "salary__john_doe"}
-    words = spark.createDataFrame([("d", 2, 0, "150.00", 0.1, 0.1, 0.1, 0.1), ("d", 1, 0, "150.00", 0.1, 0.1, 0.1, 0.1)], "doc string, page int, pos int, text string, left double, top double, width double, height double")
+    # the item's amount is a sum of the page's, so its parts are shown, not the amount itself
+    words = spark.createDataFrame([("d", 2, 0, "100.00", 0.1, 0.1, 0.1, 0.1), ("d", 2, 1, "$50.00", 0.3, 0.1, 0.1, 0.1), ("d", 2, 2, "150.00", 0.1, 0.1, 0.1, 0.1), ("d", 1, 0, "100.00", 0.1, 0.1, 0.1, 0.1)], "doc string, page int, pos int, text string, left double, top double, width double, height double")
     marks = candidates.highlights(done.candidates.filter("rank = 1"), items, words).collect()
-    assert [(m["row_id"], m["page"], len(m["boxes"])) for m in marks] == [("r0", 2, 1)]
+    assert [(m["row_id"], m["page"], len(m["boxes"])) for m in marks] == [("r0", 2, 2)]
+
+
+def test_component_highlights(spark):
+    """FX3: 88.25 + 30.00 + 1486.91 against 1605.16: one candidate, three boxes on page 9, in the job's document too."""
+    from tallyforge.plans.reconcile import reconcile
+
+    items = spark.createDataFrame([("r", 0, "t", "Supplies", 1605.16, None, None, "Test supplies", "j")], "row_id string, row_index int, doc string, budget_item string, amount double, first_name string, last_name string, explanation string, job_id string")
+    pages = spark.createDataFrame([("t", 9, "Invoice components: $88.25, $30.00, $1486.91", entity(values=[88.25, 30.0, 1486.91]))], PAGE)
+    words = spark.createDataFrame([("t", 9, i, w, 0.1 * (i + 1), 0.2, 0.05, 0.02) for i, w in enumerate(("$88.25", "$30.00", "$1486.91", "other"))], "doc string, page int, pos int, text string, left double, top double, width double, height double")
+    jobs = spark.createDataFrame([("j", "x.csv")], "job_id string, inputs string")
+    done = reconcile(items, pages, words, jobs=jobs)
+    first = done.candidates.filter("rank = 1").first()
+    assert first["score"] == 0.85 and [(e["page"], e["value"]) for e in first["evidence"]] == [(9, 88.25), (9, 30.0), (9, 1486.91)]
+    job = json.loads(done.documents.first()["value"])
+    made = job["line_items"][0]["candidates"][0]
+    assert made["rationale"] == ["Amount-based match", "Component match: $88.25 + $30.00 + $1486.91 = $1605.16", "Multiple amounts sum to target"]
+    assert [(b["left"], b["top"]) for b in made["highlights"]["9"]] == [(0.1, 0.2), (0.2, 0.2), (pytest.approx(0.3), 0.2)]
+    shown = job["documents"][0]["pages_data"]["9"]
+    assert [w["text"] for w in shown["words"]] == ["$88.25", "$30.00", "$1486.91", "other"] and shown["text"].startswith("Invoice")
+
+
+def test_cross_page_evidence(spark):
+    items = spark.createDataFrame([("r", "d", 60.0, "Supplies", None, None, None)], ITEM)
+    vals = spark.createDataFrame([("d", p, i, v, None) for p, vs in ((1, [5.0, 10.0]), (2, [20.0]), (3, [30.0]), (4, [1.0])) for i, v in enumerate(vs)], AMOUNT)
+    got = amounts.amount_route(items, vals).first()
+    assert (got["pages"], got["strategy"], [tuple(e) for e in got["evidence"]]) == ([1, 2, 3], "cross-page", [(1, 10.0), (2, 20.0), (3, 30.0)])
+    closed = spark.createDataFrame([("r", "d", 3)], "row_id string, doc string, page int")
+    assert amounts.amount_route(items, vals, closed).count() == 0
+
+
+def test_containment_equals_contains(spark):
+    """Terms and texts of all lengths, without a pair of them compared but through their grams."""
+    random.seed(5)
+    word = lambda n: "".join(random.choice("abé1") for _ in range(n))
+    terms = {(d, word(random.randint(1, 6))) for d in "xy" for _ in range(60)} | {("x", ""), ("z", "a")}
+    texts = {(d, word(random.randint(0, 12))) for d in "xy" for _ in range(80)}
+    got = containment.containing(spark.createDataFrame(sorted(terms), "doc string, term string"), spark.createDataFrame(sorted(texts), "doc string, held string"))
+    assert {tuple(r) for r in got.collect()} == {(d, t, h) for d, t in terms for e, h in texts if d == e and t and t in h}
+    none = spark.createDataFrame([], "doc string, term string")
+    assert containment.containing(none, spark.createDataFrame(sorted(texts), "doc string, held string")).count() == 0
+
+
+def test_tokens_across_white_space(spark):
+    """Letters and digits may stand apart on the page."""
+    pages = spark.createDataFrame([("d", 1, "see PP 21 and q3x"), ("d", 2, "pp21"), ("d", 3, "pp 2 1"), ("d", 4, None), ("d", 5, "q\n3 x")], "doc string, page int, text string")
+    tokens = spark.createDataFrame([("d", "pp21"), ("d", "q3x"), ("d", "nd"), ("d", "zz")], "doc string, token string")
+    got = {(r["token"], r["page"]) for r in subitems.token_pages(tokens, pages).collect()}
+    low = pages.crossJoin(tokens.drop("doc")).filter(text.token_in_page(F.col("token"), F.lower("text")))
+    assert got == {(r["token"], r["page"]) for r in low.collect()} == {("pp21", 1), ("pp21", 2), ("q3x", 1), ("q3x", 5), ("nd", 1)}
+
+
+def test_amounts_in_texts(spark):
+    """D.dd anywhere, $d where it is whole, neither of which has to be an entity; closed pages don't count."""
+    said = ["telecom granite 172.00", "granite $72", "granite $ 72.", "granite $720", "granite 1.234.72.00", "granite -72.00", "telecom"] + ["telecom"] * 80
+    pages = spark.createDataFrame([("d", p + 1, t) for p, t in enumerate(said)], "doc string, page int, text string")
+    tokens = spark.createDataFrame([("r", "d", "granite"), ("r", "d", "telecom")], "row_id string, doc string, token string")
+    none = spark.createDataFrame([], "row_id string, doc string, ordinal int, pages array<int>, score double, strategy string")
+    asked = spark.createDataFrame([("r", "d", 72.0)], "row_id string, doc string, amount double")
+    closed = spark.createDataFrame([("r", "d", 6)], "row_id string, doc string, page int")
+    got = subitems.recover_combined(asked, none, pages, spark.createDataFrame([], AMOUNT), tokens, closed)
+    assert sorted(r["pages"][0] for r in got.collect()) == [1, 2, 5]
+
+
+def test_scores_are_sparse(spark):
+    """Pages without evidence are no rows; asked for page by page they are 0."""
+    items = spark.createDataFrame([("r", "d", 1.0, "Insurance", None, None, "liability plan")], ITEM)
+    pages = spark.createDataFrame([("d", p, "liability" if p == 7 else "none", entity()) for p in range(1, 21)], PAGE)
+    assert [(r["page"], r["score"]) for r in scoring.routed_scores(items, pages).collect()] == [(7, pytest.approx(0.05))]
+    assert scoring.keyword_scores(items, pages).count() == 20
+    near = [r for r in candidates.generate(items, pages, spark.createDataFrame([], AMOUNT)).collect() if r["strategy"] == "neighbors"]
+    assert [r["pages"] for r in near] == [[6, 7, 8]]
+
+
+def test_pages_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(amounts, "STRETCH", 4)
+    files = [("d", f"f{i:02}", n) for i, n in enumerate((3, 0, 1, 9, 4, 2))] + [("e", "g", 5)]
+    offsets, refs, want = amounts.page_offsets(spark.createDataFrame(files, "doc string, path string, page_count int")), [], {}
+    for doc in "de":
+        at = 1
+        for _, path, n in (f for f in files if f[0] == doc):
+            want |= {(doc, at + k): (path, k + 1) for k in range(n)}
+            at += n
+        refs += [(doc, p) for p in range(-1, at + 3)]
+    refs += [("d", None), (None, 1), ("d", 2)]
+    got = amounts.resolve_pages(spark.createDataFrame(refs, "doc string, page int"), offsets).collect()
+    assert len(got) == len(refs) and all((r["path"], r["local_page"]) == want.get((r["doc"], r["page"]), (None, None)) for r in got)
+
+
+def test_incremental_run(spark, tmp_path):
+    """Only changed buckets are written again; a repeated batch, one without changes and one that failed halfway end alike."""
+    from tallyforge.streaming.incremental import IncrementalRun
+
+    items = spark.createDataFrame([(f"r{i}", f"d{i}", 10.0, "Supplies", None, None, "paper") for i in range(12)], ITEM)
+    page = lambda i, *values, text="": (f"d{i}", 1, text, entity(values=values))
+    make = lambda *rows: spark.createDataFrame(list(rows), PAGE)
+    run = IncrementalRun(f"file://{tmp_path}/s", items, buckets=4)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("part-*.parquet")}
+    found = lambda: {r["row_id"]: (r["strategy"], r["pages"]) for r in run.candidates(spark).filter("rank = 1").collect()}
+    run(make(*(page(i, 10.0) for i in range(12))), 0)
+    assert found() == {f"r{i}": ("exact", [1]) for i in range(12)}
+    before = files()
+    run(make(page(3, 10.0), page(4, 10.0)), 1)
+    run(make(page(3, 99.0)), 0)
+    assert files() == before
+    change = make(page(3, 4.0, 6.0), page(3, 4.0, 6.0))
+    run(change, 2)
+    after = files()
+    same = {p for p in before if after.get(p) == before[p]}
+    buckets = {p.parent.name for p in set(after) - set(before)}
+    assert len(buckets) == 1 and {p.parent.name for p in same}.isdisjoint(buckets) and len(same) > 0
+    assert found() == {f"r{i}": ("component" if i == 3 else "exact", [1]) for i in range(12)}
+    # a document whose candidates all go leaves none behind
+    run(make(*(page(i, 1.0) for i in range(12))), 3)
+    assert found() == {}
+    # results were written, pages and the batch's id not: the batch runs again
+    failing = IncrementalRun(run.folder, items, buckets=4)
+    plain = failing._replace
+    failing._replace = lambda rows, name: plain(rows, name) if name == "results" else (_ for _ in ()).throw(OSError("lost"))
+    again = make(page(5, 10.0))
+    with pytest.raises(OSError):
+        failing(again, 4)
+    run(again, 4)
+    assert found() == {"r5": ("exact", [1])}
+    full = candidates.generate(items, make(*(page(i, 10.0 if i == 5 else 1.0) for i in range(12))), spark.createDataFrame([(f"d{i}", 1, 0, 10.0 if i == 5 else 1.0, None) for i in range(12)], AMOUNT))
+    assert {r["row_id"]: (r["strategy"], r["pages"]) for r in full.filter("rank = 1").collect()} == found()
