@@ -140,16 +140,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     candidates are all rows of other vec_ids. Codes are fitted on a sample of FIT_ROWS rows
     (by hash); every row is coded and indexed. Rows are dealt into blocks of about DATA_BLOCK.
     A task sorts a block before the queries, indexes it once by substrings and streams all
-    queries through it; what lies within the radius is reranked in double precision on the
-    original vectors, and the radius widens where a block finds fewer than k. Each block
+    queries through it; what lies within the radius, and nothing else, is scored, in double
+    precision on the original vectors, and the radius widens where a block finds fewer than k. Each block
     passes on its k best, so candidates never pile up, whatever many rows lie near a query.
 
     Null, zero, non-finite vectors, those with null components, null vec_ids and vectors
     whose length isn't the most frequent one take no part. Equal scores: the smaller
     vec_id. Sums beyond the range of a double are infinite and order as such; one that is no
     number comes last. Fewer candidates than k: all. Repeated vec_ids: each row is
-    a candidate, and the rows of a query's vec_id ask together, their best k going out. No
-    rows: none out. Other columns are ignored.
+    a candidate once, and the rows of a query's vec_id ask together: a candidate's score is
+    the best it has with any of them. No rows: none out. Other columns are ignored.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -181,17 +181,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 query[asked] = codes.code(rows[asked], True)
                 yield pa.record_batch([batch.column("vec_id"), batch.column("x"), pa.array(code.view(np.int64)), pa.array(query.view(np.int64))], ["vec_id", "x", "code", "query_code"])
 
-    index = common.staged(fit.mapInArrow(coded, "vec_id long, x array<double>, code long, query_code long"), "codes")
+    index = fit.mapInArrow(coded, "vec_id long, x array<double>, code long, query_code long")
+    index = common.staged(index.withColumn("row", F.monotonically_increasing_id()), "codes")
 
     def side(kind: int, block: Column, code: str) -> list[Column]:
-        return [block.alias("block"), F.lit(kind).alias("kind"), F.col("vec_id"), F.col("x"), F.col(code).alias("code")]
+        return [block.alias("block"), F.lit(kind).alias("kind"), F.col("vec_id"), F.col("row"), F.col("x"), F.col(code).alias("code")]
 
     data = index.select(*side(0, F.pmod(place, F.lit(blocks)).cast("int"), "code"))
     queries = index.filter(F.col("vec_id") % every == 0).select(*side(1, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "query_code"))
 
     def search(batches):
         """Rows of a block, by kind and vec_id: first its data, then all queries."""
-        at, table, ids, rows = None, None, [], []
+        at, table, ids, places, rows = None, None, [], [], []
         for batch in batches:
             block, kind = (batch.column(c).to_numpy() for c in ("block", "kind"))
             edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(block)]
@@ -199,32 +200,34 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 if a == b:
                     continue
                 if block[a] != at:
-                    at, table, ids, rows, held = block[a], None, [], [], []
+                    at, table, ids, places, rows, held = block[a], None, [], [], [], []
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     ids.append(part.column("vec_id").to_numpy())
+                    places.append(part.column("row").to_numpy())
                     rows.append(_matrix(part.column("x")))
                     held.append(part.column("code").to_numpy().view(np.uint64))
                 elif ids:
                     if table is None:
-                        ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                        ids, places, rows = ([np.concatenate(v)] for v in (ids, places, rows))
                         table = SubstringIndex(np.concatenate(held), codes.bits)
                     for c in range(0, part.num_rows, QUERIES):
-                        yield _found(part.slice(c, QUERIES), ids[0], rows[0], table, codes, k)
+                        yield _found(part.slice(c, QUERIES), ids[0], places[0], rows[0], table, codes, k)
 
     met = data.unionByName(queries).repartition(max(blocks, common.partitions(vectors)), "block").sortWithinPartitions("block", "kind", "vec_id")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(search, "query_id long, vec_id long, row long, score double")
+    # of a candidate that several rows of a query found, the best; a score that is no number is the least
+    found = found.groupBy("query_id", "row").agg(F.first("vec_id").alias("vec_id"), F.max(F.struct((~F.isnan("score")).alias("number"), "score")).alias("best")).select("query_id", "vec_id", "best.score")
     number = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
     order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc(number), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _found(asked: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, table: SubstringIndex, codes: Codes, k: int) -> pa.RecordBatch:
-    """(query_id, vec_id, score): the k best rows of a block for each query."""
-    got_q, got_v, got_s = [], [], []
+def _found(asked: pa.RecordBatch, ids: np.ndarray, places: np.ndarray, rows: np.ndarray, table: SubstringIndex, codes: Codes, k: int) -> pa.RecordBatch:
+    """(query_id, vec_id, row, score): the k best rows of a block for each query, of those within its radius."""
+    got_q, got_v, got_p, got_s = [], [], [], []
     queries = _matrix(asked.column("x"))
     with np.errstate(over="ignore", invalid="ignore"):
-        rough = rows @ queries.T
         bound = (np.abs(rows).max(axis=0) @ np.abs(queries).T) * 1e-12  # over what the order of a sum can change
         for j, (q, x, code) in enumerate(zip(asked.column("vec_id").to_numpy(), queries, asked.column("code").to_numpy().view(np.uint64))):
             radius = codes.radius
@@ -234,15 +237,18 @@ def _found(asked: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, table: Subs
                 if len(near) >= k or radius >= codes.bits:
                     break
                 radius = min(codes.bits, radius + 4)
-            about = rough[near, j]
+            mine = rows[near]
+            about = mine @ x
             if len(near) > k and np.isfinite(about).all() and np.isfinite(bound[j]):
-                near = near[about >= np.partition(about, len(about) - k)[len(about) - k] - 2 * bound[j]]
-            score = (rows[near] * x).sum(axis=1)
+                best = about >= np.partition(about, len(about) - k)[len(about) - k] - 2 * bound[j]
+                near, mine = near[best], mine[best]
+            score = (mine * x).sum(axis=1)
             best = np.lexsort((ids[near], -np.nan_to_num(score, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.isnan(score)))[:k]
             got_q.append(np.full(len(best), q))
             got_v.append(ids[near[best]])
+            got_p.append(places[near[best]])
             got_s.append(score[best])
-    return pa.record_batch([pa.array(np.concatenate(got_q), pa.int64()), pa.array(np.concatenate(got_v), pa.int64()), pa.array(np.concatenate(got_s), pa.float64())], ["query_id", "vec_id", "score"])
+    return pa.record_batch([pa.array(np.concatenate(got_q), pa.int64()), pa.array(np.concatenate(got_v), pa.int64()), pa.array(np.concatenate(got_p), pa.int64()), pa.array(np.concatenate(got_s), pa.float64())], ["query_id", "vec_id", "row", "score"])
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
