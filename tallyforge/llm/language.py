@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common, tokens
 
-#: Labelled documents of each language that the model is fitted on, chosen by hash, the
-#: characters of each that it sees, and languages (the most frequent ones) that it learns.
-FIT_DOCUMENTS, FIT_CHARS, FIT_LANGUAGES = 300, 40_000, 200
+#: Labelled documents of each language that the model is fitted on, chosen by hash, and documents in all.
+FIT_DOCUMENTS, FIT_ROWS = 300, 40_000
+#: Characters of a document that the fit sees, drawn in spans by hash, and characters in all, about.
+FIT_CHARS, FIT_TOTAL, FIT_SPAN = 40_000, 40_000_000, 500
 #: Slots of the hashed affix and n-gram weights; lexicon entries.
 SLOTS, LEXICON = 1 << 17, 50_000
 STEPS, SEQUENCES, SPAN, LENGTH = 160, 192, 14, 48
@@ -270,21 +271,27 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> Model:
-    """Fits on about documents labelled rows of each of the FIT_LANGUAGES most frequent languages.
+    """Fits on about documents labelled rows of each language, on fewer where FIT_ROWS leaves fewer, on one at least.
 
     Rows are chosen by hash among those that are not held out; null doc_id, text or lang: not
-    used. The fit sees FIT_CHARS characters of a text at most, so what comes to the driver is
-    bounded in bytes, whatever the texts, by two times documents * FIT_LANGUAGES * FIT_CHARS
-    characters. No usable row: a model without labels.
+    used. Every language is learned. Of a long text the fit sees spans from all over it, drawn
+    by hash; their number goes down with that of the rows, so that up to FIT_ROWS languages
+    FIT_TOTAL characters (160 MB at four bytes each) bound what comes to the driver,
+    whatever the texts. No usable row: a model without labels.
     """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 20))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).orderBy("lang").collect()
     if not counts:
         return train([])
-    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int((1 << 20) * documents / r["n"]) + 1)))
-    place = F.xxhash64("doc_id", F.lit("crf"))
-    chosen = usable.filter(F.coalesce(F.pmod(place, F.lit(1 << 20)) < F.try_element_at(chance, F.col("lang")), F.lit(False)))
-    rows = chosen.select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * documents * len(counts)).collect()
+    documents = max(1, min(documents, FIT_ROWS // len(counts)))
+    chars = max(FIT_SPAN, min(FIT_CHARS, FIT_TOTAL // (2 * documents * len(counts))))
+    chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], max(r["least"], int((1 << 20) * documents / r["n"])) + 1)))
+    chosen = usable.filter(F.coalesce(place < F.try_element_at(chance, F.col("lang")), F.lit(False)))
+    spans = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{FIT_SPAN}}})"))
+    drawn = F.filter(spans, lambda s, i: F.pmod(F.xxhash64("doc_id", i), F.lit(1 << 20)) * F.length("text") < F.lit(chars << 19))
+    seen = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.array_join(F.slice(drawn, 1, chars // FIT_SPAN), " "))
+    rows = chosen.select(seen.alias("text"), "lang").limit(2 * documents * len(counts)).collect()
     return train(sorted((r["text"], r["lang"]) for r in rows))
 
 
