@@ -416,14 +416,15 @@ def swept(members: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFra
             rows = rows[np.argsort(-agreed, kind="stable")]
             if not len(rows):
                 continue
-            mark[:] = False
-            mark[local[end[i] - size[i] : end[i]]] = True
+            own_values = local[end[i] - size[i] : end[i]]
+            mark[own_values] = True
             for j in rows.tolist():
                 if top(i) != top(j):
                     shared = int(mark[local[end[j] - size[j] : end[j]]].sum())
                     if 100 * shared >= THRESHOLD * (size[i] + size[j] - shared):
                         parent[top(j)] = top(i)
                         found.append((min(digests[i], digests[j]), max(digests[i], digests[j])))
+            mark[own_values] = False
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     brief = signatures.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "short")
