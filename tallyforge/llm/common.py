@@ -57,13 +57,18 @@ def ship(spark: SparkSession) -> None:
 
 def forget() -> None:
     """Gives a Python worker's memory back before a stage of another kind: workers are reused, and idle memories add up."""
+    for empty in MEMORIES:
+        empty()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives what a Python worker no longer uses back to the system."""
     import ctypes
 
     import pyarrow as pa
 
-    for empty in MEMORIES:
-        empty()
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -142,9 +142,9 @@ class Encoder:
         """All ids, one text after the other, and the number of ids of each text. Null: none."""
         if not self.shortcut:
             return self._whole([t or "" for t in texts.to_pylist()])
-        for store in ("words", "pieces"):
-            if getattr(self, store).n > _REMEMBERED:
-                setattr(self, store, _Store())
+        if max(self.words.n, self.pieces.n) > _REMEMBERED:
+            self.words, self.pieces = _Store(), _Store()
+        common.trim()
         plain = [t is None or ("<|" not in t and _PLAIN.fullmatch(t) is not None) for t in texts.to_pylist()]
         odd = [i for i, p in enumerate(plain) if not p]
         kept = pc.fill_null(texts, "")
