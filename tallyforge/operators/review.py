@@ -167,9 +167,13 @@ def navigation(items: DataFrame, *keys: str) -> DataFrame:
     return by_item.unionByName(by_employee)
 
 
-def navigation_order(groups: DataFrame) -> DataFrame:
-    """Groups in the order of their ids, numbered by place from 1; a job has few of them."""
-    return groups.withColumn("place", F.row_number().over(Window.orderBy("group_id"))).orderBy("place")
+def navigation_order(groups: DataFrame, *keys: str) -> DataFrame:
+    """Groups in the order of their ids, numbered by place from 1 within keys; a job has few of them.
+
+    Groups of many jobs need keys: without any all are numbered in one place.
+    """
+    order = Window.partitionBy(*keys).orderBy("group_id") if keys else Window.orderBy("group_id")
+    return groups.withColumn("place", F.row_number().over(order)).orderBy(*keys, "place")
 
 
 def invalid_pages(selected: DataFrame, documents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyforge.plans.reconcile import reconcile
 from tallyforge.plans.registry import query
 from tallyforge.plans.views import budget, pick, view, with_views
 from tallyforge.sources import readers, sinks
+from tallyforge.streaming.edits import KeyedTable, follow, last_edits, toggle_counts
 from tallyforge.streaming.incremental import IncrementalRun
 from tallyforge.streaming.trigger import on_upload
 
@@ -503,6 +504,33 @@ def page_edits(spark, d):
     return overlays.edit_pages(made, log).select("row_id", "idx", F.array_join("pages", ",").alias("pages"), "score")
 
 
+def _followed(spark: SparkSession, log: DataFrame, halves, state, key: list[str]) -> DataFrame:
+    """What a stream makes of log that comes in two uploads."""
+    folder = scratch(spark, "edit-log")
+    table = KeyedTable(f"{folder}/table", key)
+    for half in (halves, ~halves):
+        log.filter(half).write.mode("append").json(f"{folder}/log")
+        follow(spark, f"{folder}/log", log.schema, state, table, f"{folder}/checkpoint").awaitTermination()
+    return table.read(spark)
+
+
+@query(f"WITH {_EDITS} SELECT 'row_' || r AS row_id, idx, page, op, seq FROM e QUALIFY row_number() OVER (PARTITION BY r, idx, page ORDER BY seq DESC) = 1")
+def edit_stream(spark, d):
+    """The last edit of each page of a candidate, followed as a stream; later uploads hold earlier edits too."""
+    seq = F.col("event_id")
+    log = _table(spark, d, "events").select(F.concat(F.lit("row_"), F.col("user_id").cast("string")).alias("row_id"), (seq % 4).cast("int").alias("idx"), (seq % 7 + 1).cast("int").alias("page"), F.when(F.col("event_type").isin("purchase", "signup"), "remove").otherwise("add").alias("op"), seq.alias("seq"))
+    key = ["row_id", "idx", "page"]
+    return _followed(spark, log, F.col("seq") % 3 > 0, lambda x: last_edits(x, key, "seq"), key).select(*key, "op", "seq")
+
+
+@query(with_views("evidence_log") + "SELECT item_id, field, page, doc_id, count(*) AS n, count(*) % 2 = 1 AS \"on\" FROM evidence_log GROUP BY ALL")
+def toggle_stream(spark, d):
+    """Evidence toggled over two uploads."""
+    key = ["item_id", "field", "page", "doc_id"]
+    log = view(spark, d, "evidence_log")
+    return _followed(spark, log, F.col("seq") % 2 == 0, lambda x: toggle_counts(x, key), key).select(*key, "n", "on")
+
+
 @query(f"{_RV} SELECT row_id, (n_pages % 2)::INT AS idx, CASE WHEN row_index % 3 = 0 THEN NULL ELSE score END AS score, CASE WHEN row_index % 3 = 0 THEN '9' ELSE '1,2' END AS pages, 'h' || row_id AS highlights FROM reviewed")
 def candidate_edits(spark, d):
     """Edits by key win, an edited score may be null, highlights stay."""

@@ -618,6 +618,16 @@ def navigation_groups(spark, d):
     return groups.select("group_id", "label", "employee_key", F.md5(F.array_join("row_ids", ",")).alias("ids_md5"), "place")
 
 
+@query(f"""{_RV}, k AS (SELECT *, row_index % 50 AS job_id, trim(regexp_replace(lower(first_name || ' ' || last_name), '[^a-z0-9]+', '_', 'g'), '_') AS ek, trim(regexp_replace(lower(budget_item), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM reviewed),
+    g AS (SELECT job_id, slug AS group_id, count(*) AS n FROM k GROUP BY job_id, slug UNION ALL SELECT job_id, slug || '__' || ek, count(*) FROM k WHERE budget_item IN ('Salary', 'Fringe') GROUP BY job_id, slug, ek)
+    SELECT job_id, group_id, n, (row_number() OVER (PARTITION BY job_id ORDER BY group_id))::INT AS place FROM g""")
+def navigation_of_jobs(spark, d):
+    """The groups of many jobs, each job's in its own order."""
+    items = view(spark, d, "reviewed").withColumn("job_id", F.col("row_index") % 50)
+    groups = review.navigation_order(review.navigation(items, "job_id"), "job_id")
+    return groups.select("job_id", "group_id", F.size("row_ids").cast("long").alias("n"), "place")
+
+
 @query(f"""{_RV}, dc AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'x' ELSE 'd' END || c_custkey AS doc_id, (c_custkey % 9)::INT AS page_count FROM customer)
     SELECT row_id, r.doc_id, page::INT AS page, coalesce(page_count, 0) AS page_count FROM (SELECT row_id, doc_id, unnest(range(1, n_pages + 1)) AS page FROM reviewed) r LEFT JOIN dc ON dc.doc_id = r.doc_id WHERE page > coalesce(page_count, 0)""")
 def validate_pages(spark, d):
