@@ -53,3 +53,26 @@ def test_queries_match_sql(spark, name):
     assert got.num_rows
     for a, b in (("got", "want"), ("want", "got")):
         assert con.execute(f"SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b} LIMIT 3").fetchall() == []
+
+
+def _same_as_sql(spark, folder, name):
+    """Whether a query's rows are those of its SQL over the tables that stand in folder."""
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{folder}/{f}{'/*.parquet' if os.path.isdir(os.path.join(folder, f)) else ''}')")
+    con.register("got", importlib.import_module("__spark_entry__").queries()[name](spark, str(folder)).toArrow())
+    con.execute("CREATE TABLE want AS " + registry.SQL[name])
+    cols = ", ".join(f'"{r[0]}"' for r in con.execute("DESCRIBE got").fetchall())
+    return [con.execute(f"SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b}").fetchall() for a, b in (("got", "want"), ("want", "got"))] == [[], []]
+
+
+@pytest.mark.parametrize("name", ["live_markers", "live_cache"])
+def test_seconds_are_rounded(spark, tmp_path, name):
+    """Times at the border, with parts of a second that round up, down and to even."""
+    last = 10_000_000
+    at = [last + x for x in (0.0, 0.5, 0.4)] + [last - age + x for age in (120, 30 * 86_400) for x in (-1.5, -0.5, -0.4, 0.0, 0.5, 0.6, 1.5)]
+    rows = [(i * 4 + 1, x) for i, x in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, s double").selectExpr("event_id", "cast(timestamp_micros(cast(s * 1000000 as long)) as timestamp_ntz) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    assert _same_as_sql(spark, tmp_path, name)
