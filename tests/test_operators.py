@@ -388,3 +388,81 @@ def test_edit_stream_equals_batch(spark, tmp_path):
     assert rows(table.read(spark)) == rows(state(first.union(second)))
     on = {r["row_id"]: r["on"] for r in edits.toggle_counts(first.union(second), ["row_id"]).collect()}
     assert not on["a"] and on["c"] and not on["b"]
+
+
+def test_spark_plans_of_views_give_their_rows(spark, tmp_path):
+    """Orders without lines or a customer, and lines without an order or a part; an order that two customers have is a tie that the SQL leaves open."""
+    import duckdb
+
+    from tallyforge.plans import views
+
+    orders = [(k, c, 100.0 * k) for k, c in ((1, 1), (2, 1), (3, 1), (4, 2), (5, None), (6, 2), (8, 2), (9, 1), (14, 1))]
+    lines = [(k, n, p, n + k, float(n), 91.37 * n + k, 0.1, 0.0) for k, ns in ((1, 3), (3, 2), (4, 1), (5, 2), (6, 2), (7, 1), (8, 5), (9, 2), (14, 1)) for n in range(1, ns + 1) for p in (n % 4,)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double").selectExpr("*", "date'1995-01-01' AS l_shipdate").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "red pin", "B1"), (2, "nut", "B2"), (0, "cap", None)], "p_partkey long, p_name string, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("page_amounts", "page_texts", "page_word_texts", "items"):
+        views.free()
+        con.register("got", views.view(spark, str(tmp_path), name).toArrow())
+        con.execute(f"CREATE OR REPLACE TABLE want AS {views.with_views(name)} SELECT * FROM {name}")
+        cols = ", ".join(f'"{r[0]}"' for r in con.execute("DESCRIBE want").fetchall())
+        for a, b in (("got", "want"), ("want", "got")):
+            assert con.execute(f"SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b}").fetchall() == [], name
+
+
+def test_views_are_kept_only_where_asked(spark):
+    """Words are many times their texts: search over them keeps nothing."""
+    from tallyforge.plans import queries, views
+
+    views.free()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    queries.search_any(spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_sums_leave_out_what_cannot_be_reached(spark):
+    """Brute force on places with negative, equal and missing values, foreign owners and pages that are gone; few rows go to the joins."""
+    import itertools
+    import random
+
+    rng, rows, goals = random.Random(5), [], []
+    for doc in range(12):
+        for page in range(3):
+            rows += [(doc, page, i, rng.choice([None, -4.25, 0.0, 3.1, 7.77, 12.5, round(rng.uniform(-9, 30), 2)]), rng.choice([None, None, "a", "b"])) for i in range(rng.randint(1, 8))]
+        own_values = [v for d, _, _, v, _ in rows if d == doc and v is not None]
+        goals += [(doc, own, round(sum(rng.sample(own_values, min(len(own_values), n))), 2)) for own in ("a", "c") for n in (2, 3, 3, 4, 4)] + [(doc, "a", t) for t in (10.87, 23.37, 15.6)]
+    want = set()
+    for doc, own, target in set(goals):
+        for page in range(3):
+            here = [(p, v) for d, g, p, v, o in rows if (d, g) == (doc, page) and v is not None and o in (None, own)]
+            for n in (2, 3, 4):
+                found = [tuple(p for p, _ in c) for c in itertools.combinations(here, n) if abs(sum(v for _, v in c) - target) < 0.01]
+                if found:
+                    want.add((doc, own, target, page, n, min(found)))
+                    break
+    values = spark.createDataFrame(rows, "doc int, page int, pos int, value double, owner string")
+    got = amounts.first_sums(spark.createDataFrame(sorted(set(goals)), "doc int, own string, target double"), values, ["doc", "own", "target"], ["page"]).collect()
+    assert {(r["doc"], r["own"], r["target"], r["page"], r["size"], tuple(r["positions"])) for r in got} == want and len(got) == len(want) > 20
+    told = {(r["doc"], r["page"], r["pos"]): r["n_after"] for r in amounts.placed(values, ["page"]).collect()}
+    assert all(n == sum(1 for d, g, p, v, _ in rows if (d, g) == (doc, page) and p > pos and v is not None) for (doc, page, pos), n in told.items())
+
+
+def test_navigation_gathers_ids_by_stretches(spark):
+    items = spark.range(9000).selectExpr("(id * 7919) % 9000 AS row_index", "concat('r', (id * 7919) % 9000) AS row_id", "'Salary' AS budget_item", "CASE WHEN (id * 7919) % 9000 = 0 THEN 'Ann' ELSE 'ann' END AS first_name", "'Doe' AS last_name")
+    got = review.navigation(items).collect()
+    assert len(got) == 2 and all(r["row_ids"] == [f"r{i}" for i in range(9000)] for r in got) and {r["label"] for r in got} == {"Salary", "Salary - Ann Doe"}
+    plan = review.navigation(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stretch" in plan
+
+
+def test_invoice_rows_are_numbered_without_a_window(spark, tmp_path):
+    """Several files, in one of them the header after a preamble; rows keep their places, and no window gathers them."""
+    head = "Invoice of May\nBudget Item,Amount,Explanation\n"
+    (tmp_path / "a.csv").write_text(head + "".join(f"Travel,{i},n{i}\n" for i in range(40)))
+    (tmp_path / "b.csv").write_text("".join(f"Travel,{i},n{i}\n" for i in range(40, 45)))
+    read = readers.read_invoice(spark, str(tmp_path))
+    assert [(r["row_index"], r["explanation"]) for r in read.orderBy("row_index").collect()] == [(i, f"n{i}") for i in range(45)]
+    assert "Window" not in read._jdf.queryExecution().optimizedPlan().toString()
