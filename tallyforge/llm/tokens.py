@@ -12,6 +12,7 @@ gets no shortcut: all its texts go through the library whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -153,10 +154,12 @@ class Encoder:
         split = pc.utf8_split_whitespace(pc.utf8_lower(kept.cast(pa.large_string())))
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        self._new_words([w for w in names if w not in self.words.index])
-        get = self.words.index.__getitem__
-        of_name = np.fromiter(map(get, names), np.int64, len(names))
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of_name = np.fromiter(map(self.words.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        # words are added in the order in which they are missing
+        missing, first = np.flatnonzero(of_name < 0), self.words.n
+        self._new_words([names[i] for i in missing.tolist()])
+        of_name[missing] = np.arange(first, first + len(missing))
         at = of_name[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         offsets = offsets - offsets[0]
         if odd:
